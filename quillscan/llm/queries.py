@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillscan.llm import byte_pairs, top_items
+from quillscan.llm import byte_pairs, cut_text, top_items
 from quillscan.session import load
 
 
@@ -14,9 +14,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_items.top_findings(load(spark, sf_dir, "findings"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_text.cut_sections(load(spark, sf_dir, "llm_sections"))
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_text.cut_rates(load(spark, sf_dir, "llm_sections"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.encode_ids(load(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p8_ids": p8_ids}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p8_ids": p8_ids}
