@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillscan.llm import byte_pairs, cut_text, top_items
+from quillscan.llm import byte_pairs, cut_text, text_quality, top_items
 from quillscan.session import load
 
 
@@ -26,5 +26,13 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.encode_ids(load(spark, sf_dir, "documents"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality.not_prose(load(spark, sf_dir, "documents"))
+
+
+def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality.classified(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("prose")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p8_ids": p8_ids}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p8_ids": p8_ids, "p10_found": p10_found, "p10_stats": p10_stats}
