@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillscan.llm import byte_pairs, cut_text, text_quality, top_items
+from quillscan.llm import byte_pairs, cut_text, leaks, text_quality, top_items
 from quillscan.session import load
 
 
@@ -26,6 +26,10 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.encode_ids(load(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_quality.not_prose(load(spark, sf_dir, "documents"))
 
@@ -35,4 +39,4 @@ def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p8_ids": p8_ids, "p10_found": p10_found, "p10_stats": p10_stats}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_stats": p10_stats}
