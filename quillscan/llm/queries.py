@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillscan.llm import byte_pairs, cut_text, leaks, text_quality, top_items
+from quillscan.llm import byte_pairs, cut_text, leaks, parsing, text_quality, top_items
 from quillscan.session import load
 
 
@@ -22,6 +22,14 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_text.cut_rates(load(spark, sf_dir, "llm_sections"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.unparsable(load(spark, sf_dir, "scan_files"))
+
+
+def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.failure_rates(load(spark, sf_dir, "scan_files"), load(spark, sf_dir, "scans"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.encode_ids(load(spark, sf_dir, "documents"))
 
@@ -39,4 +47,4 @@ def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_stats": p10_stats}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p7_found": p7_found, "p7_rates": p7_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_stats": p10_stats}
