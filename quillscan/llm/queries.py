@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillscan.llm import byte_pairs, cut_text, leaks, not_handwritten, parsing, text_quality, top_items
+from quillscan.llm import byte_pairs, credentials, cut_text, leaks, not_handwritten, parsing, text_quality, top_items
 from quillscan.session import load
 
 
@@ -22,6 +22,14 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_text.cut_rates(load(spark, sf_dir, "llm_sections"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.credential_lines(load(spark, sf_dir, "scan_files"), load(spark, sf_dir, "findings"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.redacted(load(spark, sf_dir, "scan_files"), load(spark, sf_dir, "findings"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return not_handwritten.not_handwritten(load(spark, sf_dir, "scan_files"), load(spark, sf_dir, "repo_catalog"))
 
@@ -55,4 +63,4 @@ def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_reasons": p5_reasons, "p7_found": p7_found, "p7_rates": p7_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_stats": p10_stats}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_reasons": p5_reasons, "p7_found": p7_found, "p7_rates": p7_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_stats": p10_stats}
