@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillscan.session import durable
+
 MARK = re.compile(r"(?:\s*(?:\[[^\]\n]*(?:truncat|cut off|snip|cont)[^\]\n]*\]|<[^>\n]*truncat[^>\n]*>|\([^)\n]*truncat[^)\n]*\)|\[(?:…|\.{3})\]))+\s*$", re.I)
 ELLIPSIS = re.compile(r"\s*(?:…|\.{3,})\s*$")
 CLOSED = re.compile(r"[.!?。！？؟](?:[\"'”’»›)\]*_`]|\s*[^\w\s.,;:!?…(\[{<&\\/'\"“`#$%@=+*|~^�-])*$")
@@ -160,7 +162,7 @@ def judged(df: DataFrame, id_col: str = "section_id", text_col: str = "body", so
     Null and blank texts give no row. A null source is a source of its own. Repeated
     rows are judged each.
     """
-    passed = sections_pass(df, id_col, text_col, source_of(F.col(source_col)))
+    passed = durable(sections_pass(df, id_col, text_col, source_of(F.col(source_col))))
     limits = storage_limits(passed).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("encoding", "limit"))).alias("limits"))
     same = passed.alias("p").join(limits.alias("l"), F.col("p.source").eqNullSafe(F.col("l.source")), "left").select("p.*", "l.limits")
     hit = F.exists(F.map_keys("limits"), lambda e: (F.col("lengths")[e] <= F.col("limits")[e]) & (F.col("lengths")[e] > F.col("limits")[e] - F.when(e.contains("bytes"), 4).otherwise(1)))
