@@ -127,21 +127,38 @@ class Items:
         offsets = np.cumsum(lengths) - lengths
         flat = np.concatenate(self.texts) if self.texts else np.empty(0, np.int64)
         starts = offsets[self.where[:, 0]] + self.where[:, 1] if len(self.where) else np.empty(0, np.int64)
+        self.windows = flat[starts[:, None] + np.arange(WINDOW)] if len(starts) else np.empty((0, WINDOW), np.int64)
+        self.window_owner = np.array(self.owner, np.int64)[self.where[:, 0]] if len(starts) else starts
         self.keys = []
         for key in walk_keys(flat, starts, self.coins, self.sampled):
             order = np.argsort(key, kind="stable")
             self.keys.append((key[order], order))
 
-    def candidates(self, ids: np.ndarray, starts: np.ndarray) -> set[tuple[int, int, int]]:
-        """(window of a document, text of an item, start in it) that share a key."""
-        out: set[tuple[int, int, int]] = set()
+    def candidates(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(start of a document's window, number of an item's window) of all pairs that share a key."""
+        pairs = []
         for (sorted_keys, order), key in zip(self.keys, walk_keys(ids, starts, self.coins, self.sampled)):
             lo, hi = np.searchsorted(sorted_keys, key, "left"), np.searchsorted(sorted_keys, key, "right")
             hit = np.nonzero(hi > lo)[0]
             n = (hi - lo)[hit]
-            doc = np.repeat(starts[hit], n)
             own = order[np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            out.update(zip(doc.tolist(), self.where[own, 0].tolist(), self.where[own, 1].tolist()))
+            pairs.append(np.repeat(starts[hit], n) * len(self.where) + own)
+        return np.unique(np.concatenate(pairs))
+
+    def distances(self, flat: np.ndarray, ends: np.ndarray, starts: np.ndarray, owns: np.ndarray) -> np.ndarray:
+        """The exact edit distance of each pair up to ERRORS, else ERRORS + 1."""
+        wide = WINDOW + ERRORS
+        spots = starts[:, None] + np.arange(wide)
+        doc = np.where(spots < ends[:, None], np.concatenate([flat, np.zeros(wide, flat.dtype)])[spots], -1)
+        item = self.windows[owns]
+        out = np.full(len(starts), ERRORS + 1)
+        changed = (doc[:, :WINDOW] != item).sum(1)
+        out[changed <= 1] = changed[changed <= 1]
+        # a word of the item that the document's window lacks costs an edit
+        rest = np.nonzero(changed > 1)[0]
+        lacking = (doc[rest][:, None, :] != item[rest][:, :, None]).all(2).sum(1)
+        for r in rest[lacking <= ERRORS]:
+            out[r] = edit_distance(item[r].tolist(), [x for x in doc[r].tolist() if x >= 0], ERRORS)
         return out
 
     def search(self, docs: list[list[str]]) -> list[set[int]]:
@@ -162,11 +179,13 @@ class Items:
             return found
         at = dict(zip(starts.tolist(), owner.tolist()))
         near: dict[int, dict[int, int]] = {}
-        for s, k, p in self.candidates(flat, starts):
-            e = edit_distance(self.texts[k][p : p + WINDOW].tolist(), flat[s : min(s + WINDOW + ERRORS, ends[at[s]])].tolist(), ERRORS)
-            if e <= ERRORS:
-                own = near.setdefault(s, {})
-                own[self.owner[k]] = min(e, own.get(self.owner[k], e))
+        pairs = self.candidates(flat, starts)
+        for k in range(0, len(pairs), 20_000):
+            first, own = np.divmod(pairs[k : k + 20_000], len(self.where))
+            apart = self.distances(flat, ends[np.searchsorted(ends, first, "right")], first, own)
+            for s, x, e in zip(first[apart <= ERRORS].tolist(), self.window_owner[own[apart <= ERRORS]].tolist(), apart[apart <= ERRORS].tolist()):
+                seen = near.setdefault(s, {})
+                seen[x] = min(e, seen.get(x, e))
         tally: list[dict[int, list[int]]] = [{} for _ in docs]
         for s, own in near.items():
             least = min(own.values())
