@@ -40,6 +40,7 @@ CORE = frozenset(
 )
 WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’][^\W\d_]+)?(?!\w)")
 TOKEN = re.compile(r"\S+")
+CAMEL = re.compile(r"[a-z][A-Z]")
 SENTENCE_END = re.compile(r"[.!?…。！？؟।][\"'”’»)\]*_`]*(?=\s|$)|[。！？]")
 CLOSING = re.compile(r"[.!?…。！？؟।:;,][\"'”’»)\]*_`]*$")
 BULLET = re.compile(r"^\s*(?:[-*•+–▪◦]|\d+[.)]|[a-z][.)])\s+")
@@ -63,7 +64,7 @@ def _is_prose(chunk: str) -> bool:
         return False
     solid = re.sub(r"\s", "", chunk)
     letters = sum(map(len, words))
-    common = sum(_lower(w) in WORDS for w in words)
+    common = sum(w in WORDS for w in WORD.findall(_lower(chunk)))
     return letters >= 0.62 * len(solid) and common >= max(1, 0.12 * len(words)) and not MOJIBAKE.search(chunk)
 
 
@@ -73,7 +74,7 @@ def measure(text: str) -> tuple[list[float], list[float]]:
     lines = [x for x in text.splitlines() if x.strip()] or [text]
     n, nw, nl = max(1, len(text)), max(1, len(words)), len(lines)
     solid = max(1, n - sum(map(str.isspace, text)))
-    low = [_lower(w) for w in words]
+    low = WORD.findall(_lower(text))
     common = sum(w in WORDS for w in low)
     digits = sum(map(str.isdigit, text))
     letters = sum(map(str.isalpha, text))
@@ -81,7 +82,7 @@ def measure(text: str) -> tuple[list[float], list[float]]:
     symbols = max(0, solid - letters - digits - plain)
     tokens = TOKEN.findall(text)
     long_chars = sum(len(t) for t in tokens if len(t) > 30)
-    names = sum(1 for t in tokens if "_" in t[1:-1] or "/" in t[1:-1] or re.search(r"[a-z][A-Z]", t))
+    names = sum(1 for t in tokens if "_" in t[1:-1] or "/" in t[1:-1] or CAMEL.search(t))
     ends = len(SENTENCE_END.findall(text))
     closed = sum(bool(CLOSING.search(x.rstrip())) for x in lines)
     bullets = sum(bool(BULLET.match(x)) for x in lines)
