@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillscan.operators import flatten, schema_drift
+from quillscan.operators import detectors, external, flatten, metrics, report, schema_drift
+from quillscan.plans import analytics
+from quillscan.plans.pipeline import Analysis, analyse
 from quillscan.session import load
+from quillscan.sources import files as sources
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +27,83 @@ def p6_smells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten.child_table(load(spark, sf_dir, "validation_runs"), "run_id", "results", "results.smells")
 
 
+def _analysis(spark: SparkSession, sf_dir: str) -> Analysis:
+    return analyse(load(spark, sf_dir, "scan_files"))
+
+
+def pipeline_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analysis(spark, sf_dir).raw
+
+
+def pipeline_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analysis(spark, sf_dir).capped
+
+
+def pipeline_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analysis(spark, sf_dir).scores
+
+
+def pipeline_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.root_causes(_analysis(spark, sf_dir).capped)
+
+
+def pipeline_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.plan_steps(report.root_causes(_analysis(spark, sf_dir).capped))
+
+
+def pipeline_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capped = _analysis(spark, sf_dir).capped
+    return report.claims(report.root_causes(capped), capped)
+
+
+def pipeline_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _analysis(spark, sf_dir)
+    return report.graph_nodes(a.files, a.capped)
+
+
+def pipeline_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _analysis(spark, sf_dir)
+    return report.graph_edges(report.graph_nodes(a.files, a.capped), a.capped)
+
+
+def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analysis(spark, sf_dir).edges
+
+
+def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analysis(spark, sf_dir).cycles
+
+
+def file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.file_metrics(detectors.kept_files(load(spark, sf_dir, "scan_files")))
+
+
+def unit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.unit_metrics(file_metrics(spark, sf_dir))
+
+
+def architecture_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.architecture_labels(detectors.kept_files(load(spark, sf_dir, "scan_files")))
+
+
+def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = load(spark, sf_dir, "findings")
+    ours = f.where("validation_status = 'verified' and confidence is not null").selectExpr("repo AS repository", "category AS finding_type", "cast(finding_key AS string) AS id", "confidence")
+    others = f.where("validation_status <> 'verified' and confidence is not null").selectExpr("repo AS repository", "category AS finding_type", "analyzer AS source_type", "confidence")
+    return external.agreement(ours, others)
+
+
+def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _analysis(spark, sf_dir)
+    return sources.report_text(a.scores, report.root_causes(a.capped))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p6_found": p6_found, "p6_smells": p6_smells}
+    own = [p1_found, p6_found, p6_smells, pipeline_findings, pipeline_capped, pipeline_scores, pipeline_causes, pipeline_steps, pipeline_claims, pipeline_nodes, pipeline_edges, import_edges, import_cycles, file_metrics, unit_metrics, architecture_labels, agreement, report_texts]
+    return {f.__name__: f for f in own} | analytics.QUERIES
 
 
-SQL = {
+SQL = analytics.SQL | {
     "p6_smells": """
 WITH r AS (SELECT run_id, unnest(results) AS res, generate_subscripts(results, 1) - 1 AS i FROM validation_runs),
 s AS (SELECT run_id, i, unnest(res.smells) AS e, generate_subscripts(res.smells, 1) - 1 AS j FROM r WHERE res IS NOT NULL)
