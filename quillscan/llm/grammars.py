@@ -8,7 +8,7 @@ from quillscan.llm.peg import Grammar
 
 def _plain(name: str, string: str, call: str, operator: str, depth: int = 3) -> str:
     """The pattern of an expression of names, numbers, strings, operators and calls up to ``depth``."""
-    atom = rf"(?>{name}|\d++(?![\w.])|{string})"
+    atom = rf"(?>{name}|(?>0|[1-9]\d*+)(?![\w.])|{string})"
     e = rf"{atom}(?> ?{operator} ?{atom})*+"
     for _ in range(depth):
         e = rf"(?>{call}\((?>{e}(?>, ?{e})*+)?+\)(?! ?[\w({{\[.?])|{e})"
@@ -54,10 +54,12 @@ NUMBER <- /(?>0[xX][\da-fA-F_]++|0[bB][01_]++|0[oO][0-7_]++|(?>\d[\d_]*+(?>\.[\d
 REGEX <- /\/(?![*\/])(?>[^\/\\\[\n]++|\\[^\n]|\[(?>[^\]\\\n]++|\\[^\n])*+\])++\/[a-z]*+/
 BINARY <- /(?>===?|!==?|>>>(?!=)|\*\*(?!=)|&&(?!=)|\|\|(?!=)|\?\?(?!=)|<<(?!=)|>>(?!=)|[<>]=?|[-+*\/%&|^](?!=)|(?>instanceof|in@AS@)(?![\w$]))/
 ASSIGN <- /(?>=(?![=>])|(?>\*\*|<<|>>>?|&&|\|\||\?\?|[-+*\/%&|^])=)/
-Stmt <- Block / Declared / If / For / While / Do / Try / Switch / Return / 'throw' Expr END / /(?>break|continue)(?![\w$])/ ID? END / Import / Export / 'debugger' END / @EXTRA@ ';' / Label / Expr END
+Stmt <- Block / Declared / If / For / While / Do / Try / Switch / Return / 'throw' Expr END / /(?>break|continue)(?![\w$])/ ID? END / Import / Export / 'debugger' END / @EXTRA@ ';' / Label / !ANONYMOUS Expr END
+ANONYMOUS <- ~/(?>async\s++)?+(?>function|class)(?![\w$])/
 Label <- ID /:(?!:)/ Stmt
 Block <- '{' (FAST / Stmt)* '}'
-Declared <- Var END / Function / Class
+Declared <- Var END / &NAMED Function / Class
+NAMED <- ~/(?>async\s++)?+function\s*+\*?\s*+[\p{L}_$]/
 Var <- 'const' Bound (',' Bound)* / /(?>let|var)(?![\w$])/ Binding (',' Binding)*
 Bound <- Target @TYPE@ /=(?![=>])/ Assign
 Binding <- Target @TYPE@ (/=(?![=>])/ Assign)?
@@ -123,7 +125,7 @@ TypeItem <- TypeUnit (/(?<!\n\s*)\[/ Type? ']')*
 TypeUnit <- /(?>keyof|readonly|unique|infer|typeof)(?=\s+[\w$({\["'])/ TypeUnit / STRING / TEMPLATE / /-?/ NUMBER / '{' TypeMember* '}' / '[' (('...'? ID /\??:/)? '...'? Type /\?/? (',' ('...'? ID /\??:/)? '...'? Type /\?/?)* ','?)? ']' / '(' Type ')' / TYPENAME ('.' NAME)* TypeArgs? ('is' Type)?
 TYPENAME <- /[\p{L}_$][\w$]*+/
 TypeMember <- /[;,]/ / /(?>[-+]?readonly)(?=\s+[\w$\[])/? ('[' ID ':' Type ']' / '[' ID 'in' Type ('as' Type)? ']' /[-+]?\??/ / PropName /\??/)? (Generic? Params Ann? / Ann)? /[;,]|(?=\})|(?<=\n[^\S\n]*)/
-Typed <- 'interface' ID Generic? ('extends' Type (',' Type)*)? '{' TypeMember* '}' / 'type' ID Generic? '=' Type END / 'const'? 'enum' ID '{' (PropName ('=' Assign)? (',' PropName ('=' Assign)?)* ','?)? '}' / /(?>namespace|module)(?=\s+[\w$"'])/ (STRING / ID ('.' ID)*) Block / 'declare' (Typed / Declared / 'global' Block / Stmt)
+Typed <- 'interface' ID Generic? ('extends' Type (',' Type)*)? '{' TypeMember* '}' / 'type' ID Generic? '=' Type END / 'const'? 'enum' ID '{' (PropName ('=' Assign)? (',' PropName ('=' Assign)?)* ','?)? '}' / /(?>namespace|module)(?=\s+[\w$"'])/ (STRING / ID ('.' ID)*) Block / 'declare' (Typed / /(?>const|let|var)(?![\w$])/ Binding (',' Binding)* END / Function / Declared / 'global' Block / Stmt)
 """
 
 
@@ -475,7 +477,7 @@ Args <- (Arg (',' Arg)* ','?)?
 Arg <- /\*\*?/ Test / ID /=(?!=)/ Test / Named Comp*
 Comp <- 'async'? 'for' Targets 'in' OrTest ('if' (OrTest !ELSE / Named))*
 ELSE <- ~/if(?!\w)[^\n]*else/
-Atom <- ID / NUMBER / Strings / /(?>None|True|False)(?!\w)/ / '...' / '(' (Yield / Group)? ')' / '[' NUMBERS? Group? ']' / '{' Braces? '}'
+Atom <- Strings / ID / NUMBER / /(?>None|True|False)(?!\w)/ / '...' / '(' (Yield / Group)? ')' / '[' NUMBERS? Group? ']' / '{' Braces? '}'
 Group <- StarItem (Comp+ / (',' StarItem)* ','?)
 Braces <- '**' Or DictRest / Test ':' Test (Comp+ / DictRest) / Group
 DictRest <- (',' ('**' Or / Test ':' Test))* ','?
