@@ -21,11 +21,16 @@ def stream_findings(files: DataFrame) -> DataFrame:
     return detectors.local_findings(f)
 
 
+def _marked(df: DataFrame, at: str, late: str) -> DataFrame:
+    """``df`` with a watermark on ``at``; times without zone are taken in the session's zone."""
+    return df.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+
+
 def windowed_counts(findings: DataFrame, at: str = "recorded_at", late: str = "2 hours", width: str = "1 hour") -> DataFrame:
     """Findings per hour and severity; rows later than the watermark are dropped."""
-    return findings.withWatermark(at, late).groupBy(F.window(at, width).alias("window"), F.lower(F.trim("severity")).alias("severity")).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "severity", "n")
+    return _marked(findings, at, late).groupBy(F.window(at, width).alias("window"), F.lower(F.trim("severity")).alias("severity")).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "severity", "n")
 
 
 def without_redelivery(findings: DataFrame, at: str = "recorded_at", late: str = "2 hours") -> DataFrame:
     """The first delivery of each finding within the watermark."""
-    return findings.withWatermark(at, late).dropDuplicatesWithinWatermark(["repo", "scan_id", "id"])
+    return _marked(findings, at, late).dropDuplicatesWithinWatermark(["repo", "scan_id", "id"])

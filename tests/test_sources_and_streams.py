@@ -71,7 +71,11 @@ def test_streams(spark, tmp_path, tables):
     assert spark.table("found").count() > 0
     f = spark.read.parquet(f"{tables}/findings.parquet")
     f.write.parquet(str(tmp_path / "f"))
-    s = scan_stream.windowed_counts(scan_stream.without_redelivery(scan_stream.read_stream(spark, str(tmp_path / "f"), f), late="3650 days"), late="3650 days")
+    once = scan_stream.without_redelivery(scan_stream.read_stream(spark, str(tmp_path / "f"), f), late="3650 days")
+    q = once.select("finding_key").writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c3")).start()
+    q.awaitTermination()
+    assert spark.table("once").count() == f.select("repo", "scan_id", "id").distinct().count()
+    s = scan_stream.windowed_counts(scan_stream.read_stream(spark, str(tmp_path / "f"), f), late="1 hour")
     q = s.writeStream.format("memory").queryName("counts").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     q.awaitTermination()
-    assert spark.table("counts").columns == ["start", "severity", "n"]
+    assert spark.table("counts").columns == ["start", "severity", "n"] and spark.table("counts").count() > 0
