@@ -23,6 +23,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.unionByName(graphs).select("child_table", "record_id", "pos_path")
 
 
+def p6_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of p6_found that comes from typed columns."""
+    return flatten.flatten_arrays(load(spark, sf_dir, "validation_runs"), "run_id", ["failures", "results"]).select("child_table", "record_id", "pos_path")
+
+
 def p6_smells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten.child_table(load(spark, sf_dir, "validation_runs"), "run_id", "results", "results.smells")
 
@@ -99,11 +104,22 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p6_found, p6_smells, pipeline_findings, pipeline_capped, pipeline_scores, pipeline_causes, pipeline_steps, pipeline_claims, pipeline_nodes, pipeline_edges, import_edges, import_cycles, file_metrics, unit_metrics, architecture_labels, agreement, report_texts]
+    own = [p1_found, p6_found, p6_runs, p6_smells, pipeline_findings, pipeline_capped, pipeline_scores, pipeline_causes, pipeline_steps, pipeline_claims, pipeline_nodes, pipeline_edges, import_edges, import_cycles, file_metrics, unit_metrics, architecture_labels, agreement, report_texts]
     return {f.__name__: f for f in own} | analytics.QUERIES
 
 
+_ARRAYS = ["classification.secondary_languages", *(f"architecture.{x}" for x in ("detected_patterns", "detected_smells", "detected_root_causes", "recommendations")), "smells", "false_positive_candidates", "execution_log.errors"]
+_RUNS = [
+    "WITH r AS (SELECT run_id, unnest(results) AS r, generate_subscripts(results, 1) - 1 AS i FROM validation_runs),",
+    "s AS (SELECT run_id, i, unnest(r.smells) AS s, generate_subscripts(r.smells, 1) - 1 AS j FROM r WHERE r IS NOT NULL)",
+    "SELECT 'failures' AS child_table, run_id AS record_id, CAST(i AS VARCHAR) AS pos_path FROM (SELECT run_id, unnest(failures) AS e, generate_subscripts(failures, 1) - 1 AS i FROM validation_runs) WHERE e IS NOT NULL",
+    "UNION ALL SELECT 'results', run_id, CAST(i AS VARCHAR) FROM r WHERE r IS NOT NULL",
+    *(f"UNION ALL SELECT 'results.{a}', run_id, i || '.' || j FROM (SELECT run_id, i, unnest(r.{a}) AS e, generate_subscripts(r.{a}, 1) - 1 AS j FROM r WHERE r IS NOT NULL) WHERE e IS NOT NULL" for a in _ARRAYS),
+    "UNION ALL SELECT 'results.smells.evidence_ids', run_id, i || '.' || j || '.' || k FROM (SELECT run_id, i, j, unnest(s.evidence_ids) AS e, generate_subscripts(s.evidence_ids, 1) - 1 AS k FROM s WHERE s IS NOT NULL) WHERE e IS NOT NULL",
+]
+
 SQL = analytics.SQL | {
+    "p6_runs": "\n".join(_RUNS),
     "p6_smells": """
 WITH r AS (SELECT run_id, unnest(results) AS res, generate_subscripts(results, 1) - 1 AS i FROM validation_runs),
 s AS (SELECT run_id, i, unnest(res.smells) AS e, generate_subscripts(res.smells, 1) - 1 AS j FROM r WHERE res IS NOT NULL)
