@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 14
-ERRORS = 2  # edits up to which windows are compared; one may count, two only tell which item is nearest
+ERRORS = 2  # edits up to which windows are compared; one may count, two count inside a longer passage
+PASSAGE = 20  # words from which a passage may hold one edit in ten words
 STEPS = 28  # walk steps; half of them advance, so a walk crosses the window once
 SAMPLED = 5
 REPEATS = 16
@@ -105,6 +106,21 @@ def edit_distance(a: list[int], b: list[int], most: int) -> int:
     return min(row)
 
 
+def prefix_distances(a: list[int], b: list[int], most: int) -> list[int]:
+    """Per start of ``a``, the empty one first, its edit distance to the nearest start of ``b``; stops beyond ``most``."""
+    row = list(range(len(b) + 1))
+    out = [0]
+    for i, x in enumerate(a, 1):
+        new = [i] + [most + 1] * len(b)
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            new[j] = min(new[j - 1] + 1, row[j] + 1, row[j - 1] + (x != b[j - 1]))
+        if (least := min(new)) > most:
+            break
+        row = new
+        out.append(least)
+    return out
+
+
 class Items:
     """A block of items: vocabulary, windows and their keys."""
 
@@ -112,12 +128,14 @@ class Items:
         self.vocabulary: dict[str, int] = {}
         self.texts: list[np.ndarray] = []
         self.owner: list[int] = []
+        self.shared: list[list[int]] = []  # per text and k: how many of its first k words are shared
         where: list[tuple[int, int]] = []
         for item, words, shared in rows:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
             k = len(self.texts)
             self.texts.append(ids)
             self.owner.append(item)
+            self.shared.append(np.cumsum([0, *(p in shared for p in range(len(words)))]).tolist())
             for s in range(len(words) - WINDOW + 1):
                 if sum(p in shared for p in range(s, s + WINDOW)) <= 1:
                     where.append((k, s))
@@ -161,6 +179,21 @@ class Items:
             out[r] = edit_distance(item[r].tolist(), [x for x in doc[r].tolist() if x >= 0], ERRORS)
         return out
 
+    def holds_passage(self, doc: list[int], s: int, own: int) -> bool:
+        """Does a passage of PASSAGE words or more of the item, with at most one edit in ten, lie around a pair of windows?"""
+        k, q = self.where[own].tolist()
+        text, shared = self.texts[k].tolist(), self.shared[k]
+        most = len(text) // 10
+        if len(text) < PASSAGE:
+            return False
+        after = prefix_distances(text[q:], doc[s : s + len(text) - q + most], most)
+        before = prefix_distances(text[:q][::-1], doc[max(0, s - q - most) : s][::-1], most)
+        for a, x in enumerate(before):
+            for b in range(max(WINDOW, PASSAGE - a), len(after)):
+                if x + after[b] <= (a + b) // 10 and shared[q + b] - shared[q - a] <= 1:
+                    return True
+        return False
+
     def search(self, docs: list[list[str]]) -> list[set[int]]:
         """The items that each document holds."""
         get = self.vocabulary.get
@@ -179,13 +212,17 @@ class Items:
             return found
         at = dict(zip(starts.tolist(), owner.tolist()))
         near: dict[int, dict[int, int]] = {}
+        twice: dict[tuple[int, int], list[int]] = {}  # windows of an item two edits from a document's window
         pairs = self.candidates(flat, starts)
         for k in range(0, len(pairs), 20_000):
             first, own = np.divmod(pairs[k : k + 20_000], len(self.where))
             apart = self.distances(flat, ends[np.searchsorted(ends, first, "right")], first, own)
-            for s, x, e in zip(first[apart <= ERRORS].tolist(), self.window_owner[own[apart <= ERRORS]].tolist(), apart[apart <= ERRORS].tolist()):
+            close = apart <= ERRORS
+            for s, o, x, e in zip(first[close].tolist(), own[close].tolist(), self.window_owner[own[close]].tolist(), apart[close].tolist()):
                 seen = near.setdefault(s, {})
                 seen[x] = min(e, seen.get(x, e))
+                if e == ERRORS:
+                    twice.setdefault((s, x), []).append(o)
         tally: list[dict[int, list[int]]] = [{} for _ in docs]
         for s, own in near.items():
             least = min(own.values())
@@ -196,6 +233,18 @@ class Items:
                 t[3 if len(best) > 1 else least] += 1
         for d, seen in enumerate(tally):
             found[d] = {x for x, (exact, one, _, ties) in seen.items() if exact or one > 1 or one and not ties}
+        # what two edits in every window hide: passages long enough for them
+        wide: dict[tuple[int, int], int] = {}
+        bounds = np.concatenate([[0], ends])
+        for (s, x), owns in twice.items():
+            d = at[s]
+            if x in found[d] or min(near[s].values()) < ERRORS or len(near[s]) > 1 or wide.get((d, x), 0) > 1:
+                continue
+            doc, s = flat[bounds[d] : bounds[d + 1]].tolist(), s - int(bounds[d])
+            wide[d, x] = wide.get((d, x), 0) + any(self.holds_passage(doc, s, o) for o in owns)
+        for (d, x), n in wide.items():
+            if n > 1 or n and not tally[d][x][3]:
+                found[d].add(x)
         return found
 
 

@@ -56,6 +56,40 @@ def test_recall_against_brute_force():
     assert sum(len(g) for g in got) <= 1.02 * len(docs)
 
 
+def test_two_replaced_words_in_twenty_against_brute_force():
+    rng = random.Random(4)
+    items = [sentence(rng, 40) for _ in range(60)]
+    docs, truth = [], []
+    for k, (i, j) in enumerate((i, j) for i in range(20) for j in range(i)):
+        for n in (19, 20):
+            s = rng.randrange(0, 40 - n)
+            part = list(items[k % 60][s : s + n])
+            part[min(i, n - 1)], part[j] = "zz", "yy"
+            docs.append(sentence(rng, 30) + part + sentence(rng, 30))
+            same = [x == y for x, y in zip(part, items[k % 60][s : s + n])]
+            fits = lambda a, b: sum(same[a:b]) >= (b - a) - (1 if b - a < 20 else (b - a) // 10)
+            truth.append({k % 60} if any(fits(a, b) for a in range(n) for b in range(a + 14, n + 1)) else set())
+    index = leaks.Items([(k, w, set()) for k, w in enumerate(items)])
+    assert index.search(docs) == truth and sum(map(len, truth)) < len(docs)
+
+
+def test_longer_passage_stays_outside_shared_wording():
+    rng = random.Random(5)
+    w = sentence(rng, 40)
+    part = w[:6] + ["zz", "yy"] + w[8:20]
+    docs = [sentence(rng, 30) + p + sentence(rng, 30) for p in (part, part[:13] + part[14:], w[10:16] + ["zz", "zz"] + w[18:36] + ["zz", "zz"] + w[38:])]
+    assert leaks.Items([(0, w, set())]).search(docs) == [{0}, set(), {0}]
+    assert leaks.Items([(0, w, {0, 1, 2})]).search(docs[:1]) == [set()]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=12), st.lists(st.integers(0, 3), max_size=12))
+def test_prefix_distances(a, b):
+    got = leaks.prefix_distances(a, b, 2)
+    want = [leaks.edit_distance(a[:k], b, 2) if k else 0 for k in range(len(a) + 1)]
+    assert got == want[: len(got)] and (len(got) == len(want) or want[len(got)] == 3)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=8), st.lists(st.integers(0, 3), max_size=10))
 def test_edit_distance(a, b):
