@@ -17,6 +17,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_drift.drift(load(spark, sf_dir, "result_exports"))
 
 
+def p1_table_analysis_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.migrated(load(spark, sf_dir, "result_exports"), "analysis_result", "classification")
+
+
+def p1_table_demo_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.migrated(load(spark, sf_dir, "result_exports"), "demo_result", "engineering_review")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = flatten.flatten_arrays(load(spark, sf_dir, "validation_runs"), "run_id", ["failures", "results"])
     graphs = flatten.flatten_json(load(spark, sf_dir, "demo_results"), "result_id", "knowledge_graph")
@@ -104,7 +112,7 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p6_found, p6_runs, p6_smells, pipeline_findings, pipeline_capped, pipeline_scores, pipeline_causes, pipeline_steps, pipeline_claims, pipeline_nodes, pipeline_edges, import_edges, import_cycles, file_metrics, unit_metrics, architecture_labels, agreement, report_texts]
+    own = [p1_found, p1_table_analysis_result, p1_table_demo_result, p6_found, p6_runs, p6_smells, pipeline_findings, pipeline_capped, pipeline_scores, pipeline_causes, pipeline_steps, pipeline_claims, pipeline_nodes, pipeline_edges, import_edges, import_cycles, file_metrics, unit_metrics, architecture_labels, agreement, report_texts]
     return {f.__name__: f for f in own} | analytics.QUERIES
 
 

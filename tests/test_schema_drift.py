@@ -46,7 +46,37 @@ def test_removed_field_that_comes_back_is_added(spark):
     assert changes(spark, {1: with_, 2: without, 3: with_}) == [(2, "removed", "classification.y", ""), (3, "added", "", "classification.y")]
 
 
+def test_records_of_every_file_meet_in_one_table(spark):
+    def rows(stream, files, start):
+        return [(stream, n, json.dumps(r), start + 10 * n + k, "clash", "analysis_result") for n, records in files.items() for k, r in enumerate(records)]
+
+    a = {
+        1: [record(f"r{k}", loc=k * 7, stars=k, deep={"x": k, "y": "u"}) for k in range(4)],
+        2: [record(f"r{k}", loc_v2=k * 7, stars=str(k), deep={"x": k, "y": "u"}) for k in range(4)],
+        3: [record(f"r{k}", lines=k * 7, stars=str(k), deep={"x_new": k, "y": "u"}, loc="made anew") for k in range(4)],
+    }
+    b = {1: [record("r9", loc="many", stars=5)], 2: [record("r9", loc=1, stars=5)]}
+    data = rows("s", a, 0) + rows("t", b, 100) + [("s", 1, json.dumps(a[1][0]), 99, "clash", "analysis_result"), ("s", 2, "{", 98, "", "analysis_result"), ("u", 1, "{}", 97, "", "demo_result")]
+    table = sd.migrated(spark.createDataFrame(data, COLUMNS + ", doc_type string"), "analysis_result", "classification")
+    assert table.select("classification.*").dtypes == [("deep", "struct<x:bigint,y:string>"), ("loc", "bigint"), ("loc_2", "string"), ("stars", "string")]
+    got = {r.record_id: r for r in table.collect()}
+    assert len(got) == 15 and got[98].other == "{" and got[98].classification is None
+    for n in (1, 2, 3):
+        for k in range(4):
+            c = got[10 * n + k].classification
+            assert (c.loc, c.stars, c.deep.x, c.deep.y, c.loc_2) == (k * 7, str(k), k, "u", "made anew" if n == 3 else None)
+            assert json.loads(got[10 * n + k].other) == {"repository": f"r{k}"} and not got[10 * n + k].unfit
+    assert got[110].classification.loc is None and got[110].unfit == {"classification.loc": '"many"'} and got[120].classification.loc == 1
+
+
+def test_casts():
+    assert [sd.cast(v, "integer") for v in ("12", 3.0, True, "x", [4], 2**70, 1.5)] == [12, 3, 1, None, 4, None, None]
+    assert [sd.cast(v, "string") for v in (1, True, [1, "é"], "a")] == ["1", "true", '[1, "é"]', "a"]
+    assert [sd.cast(v, "boolean") for v in ("yes", 0, "maybe")] == [True, False, None] and sd.cast("2.5e3", "decimal") == 2500.0
+
+
 def test_empty_table(spark):
+    assert sd.migrated(spark.createDataFrame([], COLUMNS + ", doc_type string"), "analysis_result", "classification").count() == 0
     assert sd.drift(spark.createDataFrame([], COLUMNS)).count() == 0
 
 
