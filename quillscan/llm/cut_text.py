@@ -2,8 +2,8 @@
 
 Lengths are recomputed under alternative encodings (characters, bytes, UTF-16 units,
 entity and JSON escaping, newline conversion, each with and without an appended cut
-mark) and counted per source. A length that heaps up at the top of one encoding exposes
-a hidden storage limit. Then the endings are inspected: what plainly closes a text is
+mark) and counted per source, model and token limit. A length at which texts heap up in
+one encoding, at the top or below it, exposes a hidden limit. Then the endings are inspected: what plainly closes a text is
 complete, what plainly breaks off is cut, and the rest is settled by the limits and by
 how the corpus itself goes on after the same last words.
 """
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillscan.session import durable
@@ -115,16 +115,23 @@ def source_of(provider: Column) -> Column:
     return F.lower(F.trim(provider))
 
 
-def sections_pass(df: DataFrame, id_col: str, text_col: str, source: Column) -> DataFrame:
-    """Per non-blank text: id, source, state, last words, hash of the text, lengths by encoding."""
+def groups_of(source: Column, parts: list[Column]) -> Column:
+    """The groups in which a text's length counts: its source, alone and with each choice of ``parts``."""
+    named = [p.alias(f"p{k}") for k, p in enumerate(parts)]
+    chosen = [[p for k, p in enumerate(named) if bits >> k & 1] for bits in range(1 << len(named))]
+    return F.array_distinct(F.array(*(F.to_json(F.struct(source.alias("source"), *c)) for c in chosen)))
+
+
+def sections_pass(df: DataFrame, id_col: str, text_col: str, source: Column, parts: list[Column] | None = None) -> DataFrame:
+    """Per non-blank text: id, source, groups, state, last words, hash of the text, lengths by encoding."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(i, s, *ending(t), xxhash.xxh64_intdigest(t.strip()) >> 1, lengths(t)) for i, s, t in f.itertuples(index=False) if t and t.strip()]
-            yield pd.DataFrame(rows, columns=["id", "source", "state", "last", "body", "lengths"])
+            rows = [(i, s, g, *ending(t), xxhash.xxh64_intdigest(t.strip()) >> 1, lengths(t)) for i, s, g, t in f.itertuples(index=False) if t and t.strip()]
+            yield pd.DataFrame(rows, columns=["id", "source", "groups", "state", "last", "body", "lengths"])
 
-    picked = df.select(F.col(id_col).cast("bigint").alias("id"), source.alias("source"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(run, "id bigint, source string, state string, last string, body bigint, lengths map<string,int>")
+    picked = df.select(F.col(id_col).cast("bigint").alias("id"), source.alias("source"), groups_of(source, parts or []).alias("groups"), F.col(text_col).alias("text"))
+    return picked.mapInPandas(run, "id bigint, source string, groups array<string>, state string, last string, body bigint, lengths map<string,int>")
 
 
 def continuations(df: DataFrame, text_col: str) -> DataFrame:
@@ -156,17 +163,49 @@ def storage_limits(passed: DataFrame, least: int = 8, times: float = 8.0) -> Dat
     return heap.where((F.col("at_limit") >= least) & (F.col("at_limit") / 4 >= times * F.col("below") / 8))
 
 
-def judged(df: DataFrame, id_col: str = "section_id", text_col: str = "body", source_col: str = "provider", group_col: str = "run_id") -> DataFrame:
+def heaps(passed: DataFrame, least: int = 8, times: float = 8.0) -> DataFrame:
+    """Per source, group and encoding every length at which broken texts heap up, longer texts or not.
+
+    A heap holds ``least`` different texts or more within three units below its length,
+    most of them without a closing end, and at the length itself ``times`` as many as the
+    eight lengths below the heap or above it have on average. Equal texts of a source
+    count once, so that fixed wording makes no heap. A group's heap that its source has
+    too isn't repeated.
+    """
+    once = passed.withColumn("n", F.row_number().over(Window.partitionBy("source", "body").orderBy("id"))).where("n = 1")
+    broken = F.col("state").isin("open", "cut", "dots").cast("int")
+    finest = once.select("source", "groups", broken.alias("broken"), F.explode("lengths").alias("encoding", "length")).groupBy("source", "groups", "encoding", "length").agg(F.count(F.lit(1)).alias("n"), F.sum("broken").alias("broken"))
+    counts = finest.select("source", F.posexplode("groups").alias("level", "group"), "encoding", "length", "n", "broken")
+    counts = counts.groupBy("source", "group", "encoding", "length").agg(F.min("level").alias("level"), F.sum("n").alias("n"), F.sum("broken").alias("broken"))
+    along = Window.partitionBy("source", "group", "encoding").orderBy("length")
+    near = lambda c, a, b: F.coalesce(F.sum(c).over(along.rangeBetween(a, b)), F.lit(0))
+    seen = counts.withColumns({"at_limit": near("n", -3, 0), "open": near("broken", -3, 0), "below": near("n", -11, -4), "above": near("n", 1, 8)})
+    heap = seen.where((F.col("at_limit") >= least) & (F.col("open") * 2 > F.col("at_limit")) & (F.col("n") * 4 >= F.col("at_limit")) & (F.col("n") >= times * F.greatest("below", "above") / 8))
+    top = F.min("level").over(Window.partitionBy("source", "encoding", "length"))
+    return heap.withColumn("top", top).where("top > 0 or level = 0").select("source", "group", "encoding", F.col("length").alias("limit"))
+
+
+def _marked(passed: DataFrame, limits: DataFrame) -> DataFrame:
+    """The texts with ``at_limit``: does the length stand at a limit of the source or of one of the text's groups?"""
+    per_source = limits.groupBy("source").agg(F.collect_set(F.struct("group", "encoding", "limit")).alias("limits"))
+    same = passed.drop("at_limit").alias("p").join(per_source.alias("l"), F.col("p.source").eqNullSafe(F.col("l.source")), "left").select("p.*", "l.limits")
+    within = lambda x: (F.col("lengths")[x["encoding"]] <= x["limit"]) & (F.col("lengths")[x["encoding"]] > x["limit"] - F.when(x["encoding"].contains("bytes"), 4).otherwise(1))
+    hit = F.exists("limits", lambda x: within(x) & (x["group"].isNull() | F.array_contains("groups", x["group"])))
+    return same.withColumn("at_limit", F.coalesce(hit, F.lit(False))).drop("limits")
+
+
+def judged(df: DataFrame, id_col: str = "section_id", text_col: str = "body", source_col: str = "provider", group_col: str = "run_id", part_cols: tuple[str, ...] = ("model", "max_tokens")) -> DataFrame:
     """``id, source, cut, at_limit`` of every non-blank text.
 
     Null and blank texts give no row. A null source is a source of its own. Repeated
-    rows are judged each.
+    rows are judged each. Of ``part_cols``, those that the table has group the lengths.
     """
-    passed = durable(sections_pass(df, id_col, text_col, source_of(F.col(source_col))))
-    limits = storage_limits(passed).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("encoding", "limit"))).alias("limits"))
-    same = passed.alias("p").join(limits.alias("l"), F.col("p.source").eqNullSafe(F.col("l.source")), "left").select("p.*", "l.limits")
-    hit = F.exists(F.map_keys("limits"), lambda e: (F.col("lengths")[e] <= F.col("limits")[e]) & (F.col("lengths")[e] > F.col("limits")[e] - F.when(e.contains("bytes"), 4).otherwise(1)))
-    rows = same.withColumn("at_limit", F.coalesce(hit, F.lit(False))).drop("lengths", "limits")
+    parts = [source_of(F.col(c)) for c in part_cols if c in df.columns]
+    passed = durable(sections_pass(df, id_col, text_col, source_of(F.col(source_col)), parts))
+    top = durable(_marked(passed, storage_limits(passed).withColumn("group", F.lit(None).cast("string"))))
+    # what stands at a limit in one encoding would heap up again in others
+    rest = top.where("not at_limit")
+    rows = _marked(rest, heaps(rest)).unionByName(top.where("at_limit")).drop("lengths", "groups")
     settled = rows.where(F.col("state").isin("cut", "closed")).select("id", "source", (F.col("state") == "cut").alias("cut"), "at_limit")
     unsure = rows.where(~F.col("state").isin("cut", "closed"))
     labels = unsure.where("state = 'label'").select("id", "body")

@@ -28,6 +28,24 @@ def test_hidden_limit_under_each_encoding(spark):
     assert got == {k for k, (p, b) in enumerate(bodies) if not ends(b)}
 
 
+def test_lower_limits_under_longer_texts(spark):
+    plain = "We load the small table first and then the next one goes the same way"
+    grow = lambda k, n: (f"Run {k}. " + DONE + NEXT * 9)[: n - len(plain) - 1] + " " + plain
+    rows = [("A", "m", "256", grow(k, 300)) for k in range(20)] + [(" a", "m", "512", grow(k, 420)) for k in range(20)] + [("a", "m", None, DONE + NEXT * 9 + f" Run {k}" + " x" * k + ".") for k in range(30)]
+    rows += [("a", "m", "", DONE + " " + plain + ".")] * 9 + [("a", "n", "", f"Run {k}. " + DONE + " " + plain) for k in (1, 22, 333)] + [("a", "n", "", DONE + NEXT + " " + plain)] * 12
+    df = spark.createDataFrame([(k, k, p, b, "x", "y", m, t) for k, (p, m, t, b) in enumerate(rows)], KIND + ", model string, max_tokens string")
+    assert {r.section_id for r in cut_text.cut_sections(df).collect()} == set(range(40))
+
+
+def test_limit_of_one_group_among_texts_of_all_lengths(spark):
+    body = lambda k, n: (f"Run {k}. " + DONE + NEXT * 9)[:n]
+    rows = [("a", "x", "y", body(k, 300)) for k in range(12)] + [("a", "z", "y", body(1000 + k, 250 + k % 100)) for k in range(400)]
+    df = spark.createDataFrame([(k, k, p, b, "x", "y", m, t) for k, (p, m, t, b) in enumerate(rows)], KIND + ", model string, max_tokens string")
+    passed = cut_text.sections_pass(df, "section_id", "body", cut_text.source_of(df.provider), [df.model, df.max_tokens]).where("state != 'x'")
+    got = {(r.group, r["limit"]) for r in cut_text.heaps(passed).where("encoding = 'chars'").collect()}
+    assert got == {('{"source":"a","p0":"x"}', 300), ('{"source":"a","p0":"x","p1":"y"}', 300)}
+
+
 def test_labels_blanks_and_repeats(spark):
     bodies = [("a", None), ("a", " \n"), ("a", "No action needed"), ("b", "No action needed"), ("a", "Done"), ("b", DONE + " The old load"), ("b", DONE + " The old load"), ("c", "We will see…"), ("c", DONE)]
     assert found(spark, bodies) >= {5, 6} and not found(spark, bodies) & {0, 1, 2, 3, 8}
