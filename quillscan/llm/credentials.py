@@ -30,6 +30,9 @@ ISSUED = re.compile(
     r"|SG\.[\w-]{20,24}\.[\w-]{40,45}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}|hf_[A-Za-z]{34}|pypi-[\w-]{40,}|dop_v1_[0-9a-f]{64}|shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}|sk-(?:ant-|proj-)?[\w-]{32,}|ya29\.[\w-]{30,}|hvs\.[\w-]{24,}|key-[0-9a-f]{32}|AGE-SECRET-KEY-1[A-Z0-9]{50,})(?![A-Za-z0-9])"
 )
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+KEY_BREAK = re.compile(r"\\n|\n")
+KEY_TEXT = re.compile(r"[A-Za-z0-9+/]{16,}+={0,2}")
+KEY_HEADER = re.compile(r"[A-Z][A-Za-z-]{1,20}: ")
 ADDRESS = re.compile(r"(?<![a-zA-Z0-9+.\-])[a-zA-Z][a-zA-Z0-9+.\-]*+://([^\s:@/\"'`<>]*):([^\s@\"'`/]+)@[\w\[\-.${]")
 HEADER = re.compile(r"\b(Basic|Bearer|Token|ApiKey)\s+([A-Za-z0-9+/=_.~\-]{8,})", re.I)
 KEYED = re.compile(r"(?<![\w$])(?:--?)?(pass(?:word|wd|phrase)?|pwd|secret|(?:access|auth|api|deploy|bot)?[-_]?token|(?:api|access|secret|account|shared)[-_ ]?(?:access)?[-_ ]?key)\s*[=:]\s*([^\s;\"'`,&<>]+)", re.I)
@@ -44,6 +47,9 @@ ASSIGNED = re.compile(
 )
 CHAIN = re.compile(r"([\"'])((?:\\.|(?!\1)[^\\\n])*)\1(?:\s*(?:\+|\.\.?(?=\s*[\"'])|<<|,|\\)?\s*([\"'])((?:\\.|(?!\3)[^\\\n])*)\3)+")
 PIECE = re.compile(r"([\"'])((?:\\.|(?!\1)[^\\\n])*)\1")
+UNLISTED = re.compile(CHAIN.pattern.replace("|,|", "|"))
+QUOTE = re.compile("[\"']")
+JOIN = re.compile(r"[\s\])]*\)?\s*\.?\s*join|\]?\s*\.join")
 LITERAL = re.compile(r"(?<![A-Za-z0-9+/=_%\\-])(?:[A-Za-z0-9+/_-]{24,}={0,2}|(?:%[0-9A-Fa-f]{2}|[\w.~:/@-]){8,}|(?:\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|[\w.~:/@-]){4,})(?![A-Za-z0-9+/=])")
 TRIGGER = re.compile(
     r"pass|pwd|pw|secret|token|key|auth|bearer|basic |login|credential|://|private|gh[pousr]_|github_pat|glpat-|xox[abeprs]-|akia|asia|aiza|k_live_|npm_|sg\.|eyj|hf_|pypi-|dop_v1|shp|sk-|ya29|hvs\.|curl|[\"']\s*\+\s*[\"'a-z]|\\x[0-9a-f]{2}\\x|\\u00|%[0-9a-f]{2}%|identified by|[a-z0-9+/_-]{24}",
@@ -84,7 +90,7 @@ def names_secret(name: str) -> bool:
 def live(value: str) -> bool:
     """Does a value look like a real secret, not a placeholder, lookup, mask or plain word?"""
     v = value.strip()
-    if len(v) < 6 or len(v) > 4096 or re.search(r"\s", v) or PLACEHOLDER.search(v) or LOOKUP.search(v):
+    if len(v) < 6 or re.search(r"\s", v) or PLACEHOLDER.search(v) or LOOKUP.search(v):
         return False
     if len(set(v)) < 5 or re.fullmatch(r"[\d.,:/-]+", v) or re.match(r"https?://|/(?=[a-z._-]+(?:/|$))|\./|arn:", v) or re.fullmatch(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", v, re.I):
         return False
@@ -225,7 +231,51 @@ def _comment(line: str) -> int:
     return m.start() if m else -1
 
 
-def _line(text: str, start: int, end: int, config: bool | None) -> Iterator[tuple[int, int]]:
+def _key_body(text: str, at: int, begin: str) -> str:
+    """The text of a private key after its BEGIN line: up to its END line, else as far as it reads as a key."""
+    stop = text.find(begin.replace("BEGIN", "END", 1), at)
+    other = text.find("-----BEGIN", at, stop if stop >= 0 else len(text))
+    if stop >= 0 and other < 0:
+        return text[at:stop]
+    limit = other if other >= 0 else len(text)
+    ended = text.find("-----END", at, limit)
+    if ended >= 0:
+        return text[at:ended]
+    # no END line: lines of key text, bare or in literals, with headers and blank lines between
+    last, spot = at, at
+    while spot < limit:
+        cut = KEY_BREAK.search(text, spot, limit)
+        end = cut.start() if cut else limit
+        line = text[spot:end].strip(" \t\r\"'`+.,;()#*<>|\\")
+        if KEY_TEXT.fullmatch(line):
+            last = end
+        elif line and not KEY_HEADER.match(line):
+            break
+        spot = cut.end() if cut else limit
+    return text[at : max(last, min(at + 400, limit))]
+
+
+def _chains(text: str, start: int, end: int, seen: list[int]) -> Iterator[re.Match]:
+    """The chains of literals that begin on a line, each followed to its end.
+
+    ``seen``: the ends of the last chain and of the last list that no join follows, so
+    that a long one is read once and not again from each of its lines.
+    """
+    at = max(start, seen[0])
+    while q := QUOTE.search(text, at, end):
+        at = q.end()
+        for k, rx in enumerate((CHAIN, UNLISTED)):
+            if k == 0 and q.start() < seen[1] or not (m := rx.match(text, q.start())):
+                continue
+            if k == 0 and "," in re.sub(PIECE, "", m[0]) and not JOIN.match(text, m.end(), m.end() + 20):
+                seen[1] = m.end()
+                continue
+            at = seen[0] = m.end()
+            yield m
+            break
+
+
+def _line(text: str, start: int, end: int, config: bool | None, seen: list[int] | None = None) -> Iterator[tuple[int, int]]:
     """Spans of the credentials that begin on one line of a text."""
     s = text[start:end]
     at = _comment(s)
@@ -254,20 +304,13 @@ def _line(text: str, start: int, end: int, config: bool | None) -> Iterator[tupl
             if live(value) and (not named or config and len(value) >= 16 and re.search(r"\d", value) and "_" not in value and "." not in value):
                 yield start + m.start(4), start + m.start(4) + len(value)
     for m in PRIVATE.finditer(s):
-        rest = text[start + m.end() : start + m.end() + 6000]
-        stop = rest.find("-----END")
-        body = rest[: stop if stop >= 0 else 400]
+        body = _key_body(text, start + m.end(), m[0])
         if sum(map(len, re.findall(r"[A-Za-z0-9+/=]{16,}", re.sub(r"\\n", "\n", body)))) >= 40 and not re.search(r"x{12}|X{12}|\.\.\.|<", body):
             yield start + m.start(), start + m.end() + len(body)
-    for m in CHAIN.finditer(text, start, min(len(text), end + 400)) if '"' in s or "'" in s else ():
-        if m.start() >= end:
-            break
+    for m in _chains(text, start, end, [0, 0] if seen is None else seen) if '"' in s or "'" in s else ():
         pieces = list(PIECE.finditer(m[0]))
         if len(pieces) > 1:
             joined = "".join(p[2] for p in pieces)
-            between = re.sub(PIECE, "", m[0])
-            if "," in between and not re.match(r"[\s\])]*\)?\s*\.?\s*join|\]?\s*\.join", text[m.end() : m.end() + 20]):
-                continue
             named = ASSIGNED.search(s, 0)
             if any(True for _ in _plain(joined, False)) or hides_secret(joined) or named and names_secret(named[1]) and live(joined):
                 yield start + m.start() - start, m.end()
@@ -282,11 +325,12 @@ def spans(text: str, ext: str | None) -> list[tuple[int, int]]:
     config = None if ext is None else ext in CONFIG
     out: set[tuple[int, int]] = set()
     at, n = 0, len(text)
+    seen = [0, 0]
     while m := TRIGGER.search(low, at):
         start = text.rfind("\n", 0, m.start()) + 1
         end = text.find("\n", m.start())
         end = n if end < 0 else end
-        out.update(_line(text, start, end, config))
+        out.update(_line(text, start, end, config, seen))
         at = end + 1
     return sorted(out)
 

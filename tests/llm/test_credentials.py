@@ -1,4 +1,5 @@
 import base64
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -38,6 +39,30 @@ def test_leaves_the_rest(ext, text):
     assert c.lines_of(text, ext) == () and c.redact(text, ext) == text
 
 
+@pytest.mark.parametrize("size", [300, 7_000, 20_000])
+def test_long_keys_to_their_end(size):
+    rng = random.Random(size)
+    long = base64.b64encode(rng.randbytes(size)).decode()
+    lines = [long[k : k + 64] for k in range(0, len(long), 64)]
+    for kind in ("RSA PRIVATE KEY", "PGP PRIVATE KEY BLOCK"):
+        body = "\n".join(lines)
+        for text in (f"-----BEGIN {kind}-----\n\n{body}\n-----END {kind}-----", f"-----BEGIN {kind}-----\n{body}"):
+            clean = c.redact(f'a = """{text}"""\nb = 2\n', "py")
+            assert c.lines_of(f'x\nk = """{text}', "py") == (2,) and not any(x in clean for x in lines if len(x) == 64) and clean.endswith("b = 2\n")
+
+
+def test_long_chains_and_values():
+    rng = random.Random(5)
+    content = b"\x02\x01\x00" + b"".join(b"\x02\x81\x80" + bytes([1]) + rng.randbytes(127) for _ in range(8))
+    der = base64.b64encode(b"\x30\x82" + len(content).to_bytes(2, "big") + content).decode()
+    parts = [der[k : k + 60] for k in range(0, len(der), 60)]
+    text = "blob = (\n" + " +\n".join(f'  "{x}"' for x in parts) + ")\ny = 1\n"
+    assert c.private_container(base64.b64decode(der)) and c.lines_of(text, "py") == (2,)
+    assert not any(x in c.redact(text, "py") for x in parts) and c.redact(text, "py").endswith(")\ny = 1\n")
+    value = base64.b64encode(rng.randbytes(4000)).decode()
+    assert c.lines_of(f'secret_key = "{value}"', "py") == (1,) and value[-40:] not in c.redact(f'secret_key = "{value}"', "py")
+
+
 def test_key_grammar():
     assert c.private_container(DER) and c.private_container(b"openssh-key-v1\0rest")
     assert not c.private_container(b"") and not c.private_container(DER[:-40]) and not c.private_container(b"0\x10" + b"a" * 16)
