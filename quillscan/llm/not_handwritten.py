@@ -43,14 +43,33 @@ ROWS = re.compile(r"^[ \t]*(?:[\[({].*[\])}],?|\"(?:[^\"\\\n]|\\.)*\",?|'(?:[^'\
 SKELETON = {c: None for c in range(128) if chr(c).isalnum() or chr(c) in "_ \t$."}
 
 
+COMMENT = re.compile(r"//|#|/?\*|--|<!--|;|[rRuU]?(?:\"\"\"|''')")
+OPENING = re.compile(r"/\*|<!--|[rRuU]?(?:\"\"\"|''')")
+CLOSING = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
+
+
 def _head(text: str) -> str:
-    """The comment lines before the code, at most fifteen lines."""
+    """The comments and blank lines before the code; lines inside a block comment get a star."""
     out = []
-    for line in text.split("\n", 16)[:15]:
+    closing = None
+    for line in text.split("\n"):
         s = line.strip()
-        if s and not re.match(r"//|#|/?\*|--|<!--|;|\"\"\"|'''", s):
-            break
-        out.append(line)
+        if closing is None:
+            if s and not COMMENT.match(s):
+                break
+            out.append(line)
+            opened = OPENING.match(s)
+            if not opened:
+                continue
+            closing, s = CLOSING[opened[0][-3:] if opened[0][-1] in "\"'" else opened[0]], s[opened.end() :]
+        else:
+            out.append(line if COMMENT.match(s) else "* " + s)
+        if closing in s:
+            # code after the end of a comment ends the region
+            code = s[s.index(closing) + len(closing) :].strip()
+            closing = None
+            if code and not COMMENT.match(code):
+                break
     return "\n".join(out)
 
 

@@ -21,6 +21,21 @@ def test_rules(path, text, reason):
     assert n.rule(path, text) == reason
 
 
+LICENCE = [f"Licensed under the terms of paragraph {k}; see the file LICENCE." for k in range(30)]
+
+
+@pytest.mark.parametrize(
+    ("path", "text", "reason"),
+    [
+        ("a.go", "\n".join("// " + x for x in LICENCE) + "\n\n// Code generated by x. DO NOT EDIT.\npackage a\n", "generated"), ("a.java", "/*\nCopyright 2020 A\n" + "\n".join(LICENCE) + "\n\nThis file was automatically generated\n*/\nclass A {}\n", "generated"),
+        ("a.py", '"""\nNotes on the parts.\n\nGenerated by tool 3.\n"""\nx = 1\n', "generated"), ("a.js", "/* one */\n/*\n two\n*/\n// Vendored from z 1.2.3\nx();\n", "vendored"), ("a.js", "/* one */ x();\n// Code generated by y. DO NOT EDIT.\n", None), ("a.js", "/*\n one\n*/\nx();\n/*\nCode generated by y.\n*/\n", None),
+        ("a.py", 'x = 1\n"""\nGenerated by tool 3.\n"""\n', None), ("a.py", '"""One line."""\nimport a\n# generated by hand or from b\n', None),
+    ],
+)
+def test_whole_leading_comments(path, text, reason):
+    assert n.rule(path, text) == reason
+
+
 def test_shared_trees_and_patched_copies(spark):
     patched = CODE.replace("call_3(b, 21)", "call_3(b, 99)").replace("    ", "\t").replace("\n", "\r\n")
     own = CODE.replace("step", "own").replace("helper", "mine").replace("call", "use")
