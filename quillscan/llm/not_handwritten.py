@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillscan.session import durable
 
-BLOCK_CHARS = 80  # shorter blocks (closing lines, imports) recur everywhere
+BLOCK_CHARS = 80  # shorter blocks (closing lines, imports) recur everywhere: they are hashed with their neighbours
 SUBTREE_CHARS = 300  # smaller subtrees (empty packages) aren't evidence
 SHARED_PART = 0.4
 SALTS = 8
@@ -127,7 +127,18 @@ def _repeats(lines: list[str]) -> bool:
 def leaves(text: str) -> tuple[list[tuple[int, int]], int, int]:
     """(hash and length of each block, hash of the file, its length), without indents and line-end kinds."""
     plain = "\n".join(map(str.strip, text.replace("\r\n", "\n").split("\n"))).strip()
-    blocks = [(xxhash.xxh64_intdigest(b) - (1 << 63), len(b)) for b in plain.split("\n\n") if len(b) >= BLOCK_CHARS]
+    texts = [b for b in plain.split("\n\n") if b]
+    blocks = []
+    for k, b in enumerate(texts):
+        first, end, n = k, k + 1, len(b)
+        # a short block's hash covers the blocks after it, at the end of the file those before it
+        while n < BLOCK_CHARS and end < len(texts):
+            n, end = n + len(texts[end]), end + 1
+        while n < BLOCK_CHARS and first > 0:
+            first -= 1
+            n += len(texts[first])
+        if n >= BLOCK_CHARS:
+            blocks.append((xxhash.xxh64_intdigest("\n\n".join(texts[first:end])) - (1 << 63), len(b)))
     return blocks, xxhash.xxh64_intdigest(plain) - (1 << 63), len(plain)
 
 
@@ -161,6 +172,14 @@ def shared_parts(nodes: DataFrame) -> DataFrame:
     return hits.groupBy("file_id").agg((F.sum("n") / F.max("size")).alias("part"))
 
 
+def shared_files(nodes: DataFrame) -> DataFrame:
+    """``file_id`` of each source file whose whole text unrelated owners have."""
+    ext = F.lower(F.element_at(F.split("path", "\\."), -1))
+    files = nodes.where((F.col("size") >= SUBTREE_CHARS) & ext.isin(sorted(CODE))).select("file_id", "owner", "hash")
+    shared = files.groupBy("hash").agg(_unrelated().alias("s")).where("s").select("hash")
+    return files.join(shared, "hash", "left_semi").select("file_id")
+
+
 def shared_subtrees(nodes: DataFrame) -> DataFrame:
     """``scan_id, dir`` of each directory whose Merkle hash unrelated owners share.
 
@@ -205,7 +224,8 @@ def judged(files: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     parts = F.filter(F.split(F.replace("path", F.lit("\\"), F.lit("/")), "/"), lambda s: ~s.isin("", "."))
     above = nodes.where("rule is null").select("file_id", "scan_id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("dir"))
     inside = above.join(shared_subtrees(nodes), ["scan_id", "dir"], "left_semi").select("file_id", F.lit("vendored").alias("reason"))
-    return by_rule.unionByName(copies).unionByName(inside).groupBy("file_id").agg(F.min("reason").alias("reason"))
+    whole = shared_files(nodes).select("file_id", F.lit("vendored").alias("reason"))
+    return by_rule.unionByName(copies).unionByName(whole).unionByName(inside).groupBy("file_id").agg(F.min("reason").alias("reason"))
 
 
 def not_handwritten(files: DataFrame, catalog: DataFrame | None = None) -> DataFrame:

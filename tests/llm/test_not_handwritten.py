@@ -49,5 +49,19 @@ def test_shared_trees_and_patched_copies(spark):
     assert got == {1, 2, 3, 5, 6}
 
 
+def test_copies_of_many_short_blocks(spark):
+    forms = ["return {g}{k}(a)", "a += {g}[{k}]", "if a > {k}: raise {g}", "print({g}, {k} - a)", "yield from {g}(a * {k})", "del a[{k}:], {g}", "assert {g}.x != {k}", "global {g}; {g} = {k}", "with {g}() as b: b({k})", "for i in {g}: i({k})", "a = {{{k}: {g}}}", "return [{g} for _ in a][{k}]"]
+    body = lambda g: "\n\n".join(f"def {g}{k}(a):\n    " + x.format(g=g, k=k) for k, x in enumerate(forms))
+    short, mine = body("go"), body("hi")
+    one_block = "# one\n\n" + "\n".join(" " * (k % 5) + x.format(g="lo", k=k) for k, x in enumerate(forms * 2))
+    rows = [
+        (1, 1, "a", "src/f.py", short), (2, 1, "a", "src/own.py", mine), (3, 2, "b", "q/g.py", short), (4, 2, "b", "q/own.py", mine.replace("hi", "own")), (5, 3, "c", "z/h.py", short.replace("a * 4", "a * 9")),
+        (6, 3, "c", "z/x.py", one_block), (7, 1, "a", "src/y.py", one_block), (8, 1, "a", "LICENCE.md", "\n".join(f"{k} terms of {k * 3}" for k in range(60))), (9, 4, "d", "own.py", mine.replace("hi", "dee")), (10, 4, "d", "s.py", "a = 1\n\nb = 2"), (11, 5, "e", "s.py", "a = 1\n\nb = 2"),
+    ]
+    files = spark.createDataFrame([(*r, "clash", "clash") for r in rows], KIND)
+    assert {r.file_id for r in n.not_handwritten(files).collect()} == {1, 3, 5, 6, 7}
+    assert {r.file_id for r in n.shared_files(n.scanned(files).withColumn("owner", n.F.col("repo"))).collect()} == {1, 3, 6, 7}
+
+
 def test_empty_table(spark):
     assert n.not_handwritten(spark.createDataFrame([], KIND)).count() == 0
