@@ -50,9 +50,11 @@ PIECE = re.compile(r"([\"'])((?:\\.|(?!\1)[^\\\n])*)\1")
 UNLISTED = re.compile(CHAIN.pattern.replace("|,|", "|"))
 QUOTE = re.compile("[\"']")
 JOIN = re.compile(r"[\s\])]*\)?\s*\.?\s*join|\]?\s*\.join")
+JOINED = re.compile(r"\bjoin\s*\(\s*(?:[\"'][^\"'\n]{0,8}[\"']\s*,\s*)?[\[(]?\s*$|\bjoin\s*\(\s*$")
 LITERAL = re.compile(r"(?<![A-Za-z0-9+/=_%\\-])(?:[A-Za-z0-9+/_-]{24,}={0,2}|(?:%[0-9A-Fa-f]{2}|[\w.~:/@-]){8,}|(?:\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|[\w.~:/@-]){4,})(?![A-Za-z0-9+/=])")
 TRIGGER = re.compile(
-    r"pass|pwd|pw|secret|token|key|auth|bearer|basic |login|credential|://|private|gh[pousr]_|github_pat|glpat-|xox[abeprs]-|akia|asia|aiza|k_live_|npm_|sg\.|eyj|hf_|pypi-|dop_v1|shp|sk-|ya29|hvs\.|curl|[\"']\s*\+\s*[\"'a-z]|\\x[0-9a-f]{2}\\x|\\u00|%[0-9a-f]{2}%|identified by|[a-z0-9+/_-]{24}",
+    r"pass|pwd|pw|secret|token|key|auth|bearer|basic |login|credential|://|private|gh[pousr]_|github_pat|glpat-|xox[abeprs]-|akia|asia|aiza|k_live_|npm_|sg\.|eyj|hf_|pypi-|dop_v1|shp|sk-|ya29|hvs\.|curl|[\"']\s*\+\s*[\"'a-z]|[\"']\s*(?:\.\.?|<<|,|\\)?\s*[\"']|\\x[0-9a-f]{2}\\x|\\u00|%[0-9a-f]{2}%|identified by|[a-z0-9+/_-]{24}",
+    re.I,
 )
 
 SECRET_WORDS = frozenset("password passwd pwd pass passphrase pw secret token apikey credential credentials bearer authtoken accesstoken".split())
@@ -267,7 +269,7 @@ def _chains(text: str, start: int, end: int, seen: list[int]) -> Iterator[re.Mat
         for k, rx in enumerate((CHAIN, UNLISTED)):
             if k == 0 and q.start() < seen[1] or not (m := rx.match(text, q.start())):
                 continue
-            if k == 0 and "," in re.sub(PIECE, "", m[0]) and not JOIN.match(text, m.end(), m.end() + 20):
+            if k == 0 and "," in re.sub(PIECE, "", m[0]) and not JOIN.match(text, m.end(), m.end() + 20) and not JOINED.search(text, max(0, q.start() - 80), q.start()):
                 seen[1] = m.end()
                 continue
             at = seen[0] = m.end()
@@ -321,12 +323,11 @@ def _line(text: str, start: int, end: int, config: bool | None, seen: list[int]
 
 def spans(text: str, ext: str | None) -> list[tuple[int, int]]:
     """Sorted spans of all credentials; ``ext`` tells configuration from code, None: unknown."""
-    low = text.lower()
     config = None if ext is None else ext in CONFIG
     out: set[tuple[int, int]] = set()
     at, n = 0, len(text)
     seen = [0, 0]
-    while m := TRIGGER.search(low, at):
+    while m := TRIGGER.search(text, at):
         start = text.rfind("\n", 0, m.start()) + 1
         end = text.find("\n", m.start())
         end = n if end < 0 else end

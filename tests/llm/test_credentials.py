@@ -63,6 +63,12 @@ def test_long_chains_and_values():
     assert c.lines_of(f'secret_key = "{value}"', "py") == (1,) and value[-40:] not in c.redact(f'secret_key = "{value}"', "py")
 
 
+@pytest.mark.parametrize("form", ["x = ['{}', '{}', '{}', '{}'].join('')", "$x = '{}' . '{}' . '{}' . '{}';", "x = ''.join(['{}', '{}', '{}', '{}'])", "x = '{}' '{}' '{}' '{}'", "x = '{}' << '{}' << '{}' << '{}'", "x = '{}' .. '{}' .. '{}' .. '{}'"])
+def test_every_joiner_is_looked_at(form):
+    text = "İİİİ\n" * 30 + form.format("gh", "p_", TOKEN[4:22], TOKEN[22:]) + "\n"
+    assert c.lines_of(text, "py") == (31,) and TOKEN[4:22] not in c.redact(text, "py")
+
+
 def test_key_grammar():
     assert c.private_container(DER) and c.private_container(b"openssh-key-v1\0rest")
     assert not c.private_container(b"") and not c.private_container(DER[:-40]) and not c.private_container(b"0\x10" + b"a" * 16)
