@@ -3,15 +3,17 @@
 A text is scanned for credentials by form (issuer prefixes, private keys, addresses,
 headers, connection strings) and by place (a value given to a name that stands for a
 secret). Literals put together by the code are joined first. Encoded literals are
-decoded layer by layer (base64, hex, percent, escapes) and scanned again; decoded bytes
-are also read as key containers by their binary grammar. A find inside a layer redacts
-the whole enclosing literal.
+decoded (base64, hex, percent, escapes, character references) until nothing decodes, and
+every layer is scanned by all the rules again; decoded bytes are also read as key
+containers by their binary grammar. A find inside a layer redacts the whole enclosing
+literal. Every layer is shorter than the one around it, so the decoding ends.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import html
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MASK = "REDACTED"
-LAYERS = 4
 
 # Forms of tokens by issuer.
 ISSUED = re.compile(
@@ -31,7 +32,8 @@ ISSUED = re.compile(
 )
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KEY_BREAK = re.compile(r"\\n|\n")
-KEY_TEXT = re.compile(r"[A-Za-z0-9+/]{16,}+={0,2}")
+KEY_TEXT = re.compile(r"(?:[A-Za-z0-9+/]{16,}+={0,2} ?)+")
+KEY_TAIL = re.compile(r"[A-Za-z0-9+/]{1,15}={0,2}|=[A-Za-z0-9+/]{4}")
 KEY_HEADER = re.compile(r"[A-Z][A-Za-z-]{1,20}: ")
 ADDRESS = re.compile(r"(?<![a-zA-Z0-9+.\-])[a-zA-Z][a-zA-Z0-9+.\-]*+://([^\s:@/\"'`<>]*):([^\s@\"'`/]+)@[\w\[\-.${]")
 HEADER = re.compile(r"\b(Basic|Bearer|Token|ApiKey)\s+([A-Za-z0-9+/=_.~\-]{8,})", re.I)
@@ -51,11 +53,14 @@ UNLISTED = re.compile(CHAIN.pattern.replace("|,|", "|"))
 QUOTE = re.compile("[\"']")
 JOIN = re.compile(r"[\s\])]*\)?\s*\.?\s*join|\]?\s*\.join")
 JOINED = re.compile(r"\bjoin\s*\(\s*(?:[\"'][^\"'\n]{0,8}[\"']\s*,\s*)?[\[(]?\s*$|\bjoin\s*\(\s*$")
-LITERAL = re.compile(r"(?<![A-Za-z0-9+/=_%\\-])(?:[A-Za-z0-9+/_-]{24,}={0,2}|(?:%[0-9A-Fa-f]{2}|[\w.~:/@-]){8,}|(?:\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|[\w.~:/@-]){4,})(?![A-Za-z0-9+/=])")
-TRIGGER = re.compile(
-    r"pass|pwd|pw|secret|token|key|auth|bearer|basic |login|credential|://|private|gh[pousr]_|github_pat|glpat-|xox[abeprs]-|akia|asia|aiza|k_live_|npm_|sg\.|eyj|hf_|pypi-|dop_v1|shp|sk-|ya29|hvs\.|curl|[\"']\s*\+\s*[\"'a-z]|[\"']\s*(?:\.\.?|<<|,|\\)?\s*[\"']|\\x[0-9a-f]{2}\\x|\\u00|%[0-9a-f]{2}%|identified by|[a-z0-9+/_-]{24}",
-    re.I,
-)
+LITERAL = re.compile(r"(?<![A-Za-z0-9+/=_%\\-])(?:[A-Za-z0-9+/_-]{24,}={0,2}|(?:%[0-9A-Fa-f]{2}|[\w.~:/@-]){8,}|(?:\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-3][0-7]{2}|&#\w{1,6};|[\w.~:/@-]){4,})(?![A-Za-z0-9+/=])")
+ENCODED = re.compile(r"%[0-9A-Fa-f]{2}|\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|[0-3][0-7]{2})|&#(?:\d|[xX][0-9A-Fa-f])|\\[nr/]")
+WRAPPED = re.compile(r"[ \t\"'>*#]*([A-Za-z0-9+/_-]{40,}={0,2})[ \t\"',+\\]*")
+# what a line with a credential holds at least one of, in lower case
+HINTS = tuple(x.encode() for x in r"pass pw secret token key auth bearer login credential :// private gho_ ghp_ ghu_ ghs_ ghr_ github_pat glpat- xox akia asia aiza k_live_ npm_ sg. eyj hf_ pypi- dop_v1 shp sk- ya29 hvs. curl \x \u0 &#".split()) + (b"basic ", b"identified by")
+HINT_FORMS = re.compile(rb"[\"']\s*\+\s*[\"'a-z]|[\"']\s*(?:\.\.?|<<|,|\\)?\s*[\"']|%[0-9a-f]{2}|\\[0-3][0-7]{2}|(?<![a-z0-9+/_-])[a-z0-9+/_-]{24}")
+CONTROL = bytes([*range(9), *range(14, 32), 127])
+RUN = re.compile(rb"[\x20-\x7e\r\n\t]{8,}")
 
 SECRET_WORDS = frozenset("password passwd pwd pass passphrase pw secret token apikey credential credentials bearer authtoken accesstoken".split())
 KEY_WORDS = frozenset("api access secret session signing private encryption master auth account storage deploy service shared hmac license x".split())
@@ -124,9 +129,56 @@ def _tlv(b: bytes, at: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= len(b) else None
 
 
+def _strings(b: bytes, at: int, n: int) -> int | None:
+    """Where ``n`` length-prefixed strings from ``at`` end."""
+    for _ in range(n):
+        if at + 4 > len(b):
+            return None
+        at += 4 + int.from_bytes(b[at : at + 4], "big")
+    return at if at <= len(b) else None
+
+
+def _openssh(b: bytes) -> bool:
+    """magic, cipher, key derivation, its options, number of keys, public keys, private section."""
+    magic = b"openssh-key-v1\0"
+    if not b.startswith(magic) or (at := _strings(b, len(magic), 3)) is None or at + 4 > len(b):
+        return False
+    keys = int.from_bytes(b[at : at + 4], "big")
+    if not 1 <= keys <= len(b) // 4 or (private := _strings(b, at + 4, keys)) is None or (end := _strings(b, private, 1)) is None:
+        return False
+    return end - private - 4 >= 16 and (end - private - 4) % 8 == 0 and len(b) - end < 3
+
+
+def _openpgp(b: bytes) -> bool:
+    """A first packet that holds a secret key: tag 5, its length, a known version and algorithm."""
+    if len(b) < 40 or not b[0] & 0x80:
+        return False
+    if b[0] & 0x40:
+        if b[0] & 0x3F != 5:
+            return False
+        n, at = (b[1], 2) if b[1] < 192 else (((b[1] - 192) << 8) + b[2] + 192, 3) if b[1] < 224 else (int.from_bytes(b[2:6], "big"), 6) if b[1] == 255 else (0, 2)
+    else:
+        if b[0] >> 2 & 0x0F != 5 or b[0] & 3 == 3:
+            return False
+        k = 1 << (b[0] & 3)
+        n, at = int.from_bytes(b[1 : 1 + k], "big"), 1 + k
+    return 40 <= n <= len(b) - at and b[at] in (3, 4, 5, 6) and b[at + 5] in (1, 2, 3, 16, 17, 18, 19, 22, 25, 26, 27, 28)
+
+
+def _pkcs12(b: bytes, second: tuple[int, int, int], end: int) -> bool:
+    """Version 3 goes before: content type (data or signed data) with explicit content, then perhaps a checksum."""
+    oid = _tlv(b, second[1])
+    if not oid or oid[0] != 0x06 or b[oid[1] : oid[2]] not in (bytes.fromhex("2a864886f70d010701"), bytes.fromhex("2a864886f70d010702")):
+        return False
+    content = _tlv(b, oid[2])
+    if not content or content[0] != 0xA0 or content[2] > second[2]:
+        return False
+    return second[2] == end or bool(mac := _tlv(b, second[2])) and mac[0] == 0x30
+
+
 def private_container(b: bytes) -> bool:
-    """PKCS#1, PKCS#8 (plain or encrypted), SEC1, PKCS#12 or OpenSSH, read by their grammar."""
-    if b.startswith(b"openssh-key-v1\0"):
+    """PKCS#1, PKCS#8 (plain or encrypted), SEC1, PKCS#12, OpenSSH or OpenPGP secret key, read by its grammar."""
+    if _openssh(b) or _openpgp(b):
         return True
     whole = _tlv(b, 0)
     if not whole or whole[0] != 0x30 or whole[2] < len(b) - 2 or whole[2] - whole[1] < 24:
@@ -141,7 +193,7 @@ def private_container(b: bytes) -> bool:
         version = b[first[1]]
         if second[0] == 0x30:  # PKCS#8: version, algorithm, key; PKCS#12: version 3, content
             third = _tlv(b, second[2])
-            return version in (0, 1) and bool(third) and third[0] == 0x04 or version == 3
+            return version in (0, 1) and bool(third) and third[0] == 0x04 or version == 3 and _pkcs12(b, second, whole[2])
         if second[0] == 0x04:  # SEC1: version 1, private key
             return version == 1
         if second[0] == 0x02:  # PKCS#1: version 0, nine integers in all
@@ -155,15 +207,24 @@ def private_container(b: bytes) -> bool:
     return False
 
 
+def _unescaped(m: re.Match) -> str:
+    return chr(int(m[1] or m[2], 16) if m[1] or m[2] else int(m[3], 8))
+
+
 def layers(literal: str) -> Iterator[bytes]:
-    """What a literal may decode to, one layer down."""
+    """What a literal may decode to, one layer down; each is shorter than the literal.
+
+    A sign that is itself encoded many times over counts as one layer.
+    """
     s = literal
     if "%" in s and re.search(r"%[0-9A-Fa-f]{2}", s):
-        yield unquote_to_bytes(s)
-    if "\\" in s and re.search(r"\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4})", s):
-        yield re.sub(r"\\(?:x([0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4}))", lambda m: chr(int(m[1] or m[2], 16)), s).encode("utf-8", "replace")
-    plain = re.sub(r"\\n|\s", "", s)
-    if len(plain) >= 24 and len(plain) % 2 == 0 and re.fullmatch(r"(?:[0-9a-f]+|[0-9A-F]+)", plain):
+        yield unquote_to_bytes(re.sub(r"%(?:25)+(?=[0-9A-Fa-f]{2})", "%", s))
+    if "\\" in s and re.search(r"\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|[0-3][0-7]{2})", s):
+        yield re.sub(r"\\(?:x([0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4})|([0-3][0-7]{2}))", _unescaped, re.sub(r"\\(?:x5[cC])+(?=[xu0-3])", r"\\", s)).encode("utf-8", "replace")
+    if "&#" in s and (text := html.unescape(re.sub(r"&(?:#38;|#x26;|amp;)+(?=#)", "&", s))) != s:
+        yield text.encode("utf-8", "replace")
+    plain = re.sub(r"\\[nr]|\s", "", s).replace("\\/", "/")
+    if len(plain) >= 24 and len(plain) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", plain):
         yield bytes.fromhex(plain)
     elif len(plain) >= 20 and re.fullmatch(r"[A-Za-z0-9+/_-]+={0,2}", plain) and len(plain.rstrip("=")) % 4 != 1:
         try:
@@ -173,23 +234,48 @@ def layers(literal: str) -> Iterator[bytes]:
 
 
 def _readable(b: bytes) -> str | None:
-    if not b or sum(x < 9 or 13 < x < 32 or x == 127 for x in b[:64]):
-        return None
-    try:
-        return b.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-
-
-def hides_secret(literal: str, depth: int = LAYERS) -> bool:
-    if depth <= 0:
-        return False
-    for b in layers(literal):
-        if private_container(b):
-            return True
-        text = _readable(b)
-        if text and text != literal and (any(True for _ in _plain(text, True)) or PRIVATE.search(text) or any(hides_secret(m[0], depth - 1) for m in LITERAL.finditer(text))):
-            return True
+    """The text of bytes without control characters, in UTF-8 or UTF-16."""
+    if len(b.translate(None, CONTROL)) == len(b):
+        try:
+            return b.decode("utf-8")
+        except UnicodeDecodeError:
+            return None
+    for kind, zeros in (("utf-16-le", b[1::2]), ("utf-16-be", b[::2])):
+        if len(b) >= 12 and len(b) % 2 == 0 and zeros.count(0) * 10 >= len(zeros) * 9:
+            try:
+                text = b.decode(kind)
+            except UnicodeDecodeError:
+                return None
+            return text if not re.search(r"[\0-\x08\x0e-\x1f]", text) else None
+    return None
+
+
+def _by_form(text: str) -> bool:
+    """Does a piece of text hold a token, a private key or an address with a password?"""
+    return any(issued(m[0]) for m in ISSUED.finditer(text)) or bool(PRIVATE.search(text)) or any(not PLACEHOLDER.search(m[2]) and len(m[2]) >= 6 for m in ADDRESS.finditer(text))
+
+
+def hides_secret(literal: str) -> bool:
+    """Does any layer of an encoded literal hold a credential by any rule, or a key container?"""
+    seen, known, todo = {literal}, {literal}, [literal]
+    while todo:
+        for b in layers(todo.pop()):
+            if private_container(b):
+                return True
+            text = _readable(b)
+            if text is None:
+                if any(_by_form(m[0].decode("ascii")) for m in RUN.finditer(b)):
+                    return True
+                continue
+            if text in seen:
+                continue
+            seen.add(text)
+            if next(_scan(text, True, False), None):
+                return True
+            for inner in (*(m[0] for m in LITERAL.finditer(text)), *(m[2] for m in PIECE.finditer(text) if ENCODED.search(m[2]))):
+                if inner not in known:
+                    known.add(inner)
+                    todo.append(inner)
     return False
 
 
@@ -207,18 +293,22 @@ def _plain(s: str, bare: bool) -> Iterator[tuple[int, int]]:
                 yield m.span(2)
     for m in HEADER.finditer(s):
         if m[1].lower() == "basic":
-            text = next((t for b in layers(m[2] if len(m[2]) >= 20 else m[2] + "=" * 0) if (t := _readable(b))), None)
-            if text is None and len(m[2]) >= 8:
-                try:
-                    text = _readable(base64.b64decode(m[2], validate=True))
-                except (ValueError, binascii.Error):
-                    text = None
+            try:
+                text = _readable(base64.b64decode(m[2].rstrip("=") + "=" * (-len(m[2].rstrip("=")) % 4), validate=True))
+            except (ValueError, binascii.Error):
+                text = None
             if text and ":" in text and len(text.split(":", 1)[1]) >= 4 and not PLACEHOLDER.search(text.split(":", 1)[1]):
                 yield m.span(2)
         elif len(m[2]) >= 16 and live(m[2]) and (m[1].lower() == "bearer" or re.search(r"auth", s, re.I)):
             yield m.span(2)
+    quotes = {q: 0 for q in "\"'`"}
+    counted = 0
     for m in KEYED.finditer(s):
-        if live(m[2].rstrip(")]}.,\"'")) and (bare or s[: m.start()].count('"') % 2 or s[: m.start()].count("'") % 2 or s[: m.start()].count("`") % 2):
+        if not bare:
+            for q in quotes:
+                quotes[q] += s.count(q, counted, m.start())
+            counted = m.start()
+        if live(m[2].rstrip(")]}.,\"'")) and (bare or any(n % 2 for n in quotes.values())):
             if not re.match(r"[A-Za-z_][\w.]*\(", m[2]):
                 yield m.start(2), m.start(2) + len(m[2].rstrip(")]}.,\"'"))
     for rx, g in ((OPTION, 1), (CURL, 2), (IDENTIFIED, 1), (ELEMENT, 2)):
@@ -244,24 +334,29 @@ def _key_body(text: str, at: int, begin: str) -> str:
     if ended >= 0:
         return text[at:ended]
     # no END line: lines of key text, bare or in literals, with headers and blank lines between
-    last, spot = at, at
+    last, spot, full = at, at, False
     while spot < limit:
         cut = KEY_BREAK.search(text, spot, limit)
         end = cut.start() if cut else limit
         line = text[spot:end].strip(" \t\r\"'`+.,;()#*<>|\\")
-        if KEY_TEXT.fullmatch(line):
+        if KEY_TEXT.fullmatch(line) or full and KEY_TAIL.fullmatch(line):
             last = end
+        elif first := KEY_TEXT.match(line) if len(line) >= 40 else None:  # key text, then other text on its line
+            last = text.find(first[0], spot) + len(first[0])
+            break
         elif line and not KEY_HEADER.match(line):
             break
+        full = bool(line) and len(line) >= 40
         spot = cut.end() if cut else limit
-    return text[at : max(last, min(at + 400, limit))]
+    return text[at:last]
 
 
 def _chains(text: str, start: int, end: int, seen: list[int]) -> Iterator[re.Match]:
     """The chains of literals that begin on a line, each followed to its end.
 
-    ``seen``: the ends of the last chain and of the last list that no join follows, so
-    that a long one is read once and not again from each of its lines.
+    ``seen``: the ends of the last chain, of the last list that no join follows and of the
+    last block of encoded lines, so that a long one is read once and not again from each
+    of its lines.
     """
     at = max(start, seen[0])
     while q := QUOTE.search(text, at, end):
@@ -277,8 +372,28 @@ def _chains(text: str, start: int, end: int, seen: list[int]) -> Iterator[re.Mat
             break
 
 
-def _line(text: str, start: int, end: int, config: bool | None, seen: list[int] | None = None) -> Iterator[tuple[int, int]]:
-    """Spans of the credentials that begin on one line of a text."""
+def _wrapped(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The block of lines of nothing but encoded text that begins on a line; none inside or below a key's BEGIN line."""
+    if not WRAPPED.fullmatch(text, start, end):
+        return None
+    before = text[text.rfind("\n", 0, start - 1) + 1 : start] if start else ""
+    if "-----BEGIN" in before or KEY_HEADER.match(before.strip()) or WRAPPED.fullmatch(before.rstrip("\r\n")):
+        return None
+    last = end
+    while last < len(text):
+        to = text.find("\n", last + 1)
+        to = len(text) if to < 0 else to
+        line = text[last + 1 : to].strip(" \t\r\"',+\\>*#")
+        if not line or not re.fullmatch(r"[A-Za-z0-9+/_-]+={0,2}", line):
+            break
+        last = to
+        if len(line) < 40:
+            break
+    return (start, last) if last > end else None
+
+
+def _line(text: str, start: int, end: int, config: bool | None, seen: list[int], deep: bool) -> Iterator[tuple[int, int]]:
+    """Spans of the credentials that begin on one line of a text; ``deep``: encoded literals are decoded."""
     s = text[start:end]
     at = _comment(s)
     bare_from = 0 if config else at if at >= 0 else len(s)
@@ -309,31 +424,61 @@ def _line(text: str, start: int, end: int, config: bool | None, seen: list[int]
         body = _key_body(text, start + m.end(), m[0])
         if sum(map(len, re.findall(r"[A-Za-z0-9+/=]{16,}", re.sub(r"\\n", "\n", body)))) >= 40 and not re.search(r"x{12}|X{12}|\.\.\.|<", body):
             yield start + m.start(), start + m.end() + len(body)
-    for m in _chains(text, start, end, [0, 0] if seen is None else seen) if '"' in s or "'" in s else ():
+    named = None
+    for m in _chains(text, start, end, seen) if '"' in s or "'" in s else ():
         pieces = list(PIECE.finditer(m[0]))
         if len(pieces) > 1:
             joined = "".join(p[2] for p in pieces)
-            named = ASSIGNED.search(s, 0)
-            if any(True for _ in _plain(joined, False)) or hides_secret(joined) or named and names_secret(named[1]) and live(joined):
-                yield start + m.start() - start, m.end()
+            named = named or ASSIGNED.search(s) or 0
+            if any(True for _ in _plain(joined, False)) or deep and hides_secret(joined) or named and names_secret(named[1]) and live(joined):
+                yield m.start(), m.end()
+    if not deep or start < seen[2]:
+        return
+    if (block := _wrapped(text, start, end)) and hides_secret("".join(re.findall(r"[A-Za-z0-9+/_=-]+", text[block[0] : block[1]]))):
+        seen[2] = block[1]
+        yield block
+        return
     for m in LITERAL.finditer(s):
         if hides_secret(m[0]):
             yield start + m.start(), start + m.end()
+    if ENCODED.search(s):
+        for m in PIECE.finditer(s):
+            if ENCODED.search(m[2]) and hides_secret(m[2]):
+                yield start + m.start(2), start + m.end(2)
+
+
+def _hinted(text: str) -> Iterator[tuple[int, int]]:
+    """The lines, in order, that hold a hint of a credential."""
+    # one byte a character, so that offsets are those of the text
+    b = text.encode("ascii", "replace").lower()
+    starts: set[int] = set()
+
+    def take(at: int) -> int:
+        starts.add(b.rfind(b"\n", 0, at) + 1)
+        end = b.find(b"\n", at)
+        return len(b) if end < 0 else end + 1
+
+    for hint in HINTS:
+        at = b.find(hint)
+        while at >= 0:
+            at = b.find(hint, take(at))
+    at = 0
+    while m := HINT_FORMS.search(b, at):
+        at = take(m.start())
+    for start in sorted(starts):
+        end = b.find(b"\n", start)
+        yield start, len(b) if end < 0 else end
+
+
+def _scan(text: str, config: bool | None, deep: bool) -> Iterator[tuple[int, int]]:
+    seen = [0, 0, 0]
+    for start, end in _hinted(text):
+        yield from _line(text, start, end, config, seen, deep)
 
 
 def spans(text: str, ext: str | None) -> list[tuple[int, int]]:
     """Sorted spans of all credentials; ``ext`` tells configuration from code, None: unknown."""
-    config = None if ext is None else ext in CONFIG
-    out: set[tuple[int, int]] = set()
-    at, n = 0, len(text)
-    seen = [0, 0]
-    while m := TRIGGER.search(text, at):
-        start = text.rfind("\n", 0, m.start()) + 1
-        end = text.find("\n", m.start())
-        end = n if end < 0 else end
-        out.update(_line(text, start, end, config, seen))
-        at = end + 1
-    return sorted(out)
+    return sorted(set(_scan(text, None if ext is None else ext in CONFIG, True)))
 
 
 @lru_cache(maxsize=50_000)
@@ -359,6 +504,8 @@ def redact(text: str, ext: str | None) -> str:
         if secret.startswith("-----BEGIN"):
             head = secret.find("-----", 11) + 5
             out.append(secret[:head] + re.sub(r"[A-Za-z0-9+/=]{16,}", MASK, secret[head:]))
+        elif "\n" in secret and WRAPPED.match(secret):
+            out.append(re.sub(r"[A-Za-z0-9+/_-]+={0,2}", MASK, secret))
         elif PIECE.match(secret):
             first = [True]
             out.append(PIECE.sub(lambda m: m[1] + (MASK if first.pop() else "") + m[1] if first else m[1] * 2, secret))

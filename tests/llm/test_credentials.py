@@ -69,11 +69,59 @@ def test_every_joiner_is_looked_at(form):
     assert c.lines_of(text, "py") == (31,) and TOKEN[4:22] not in c.redact(text, "py")
 
 
+def _field(b: bytes) -> bytes:
+    return len(b).to_bytes(4, "big") + b
+
+
+OPENSSH = b"openssh-key-v1\0" + _field(b"none") * 2 + _field(b"") + (1).to_bytes(4, "big") + _field(b"ssh-ed25519" + bytes(40)) + _field(bytes(range(128)))
+PKCS12 = bytes.fromhex("3036020103301f06092a864886f70d010701a012") + b"\x04\x10" + b"k" * 16 + bytes.fromhex("3010") + b"m" * 16
+OPENPGP = bytes([0x95]) + (60).to_bytes(2, "big") + bytes([4, 1, 2, 3, 4, 1]) + b"q" * 54
+
+
 def test_key_grammar():
-    assert c.private_container(DER) and c.private_container(b"openssh-key-v1\0rest")
+    # an OpenSSH container was once told by its first bytes alone; now its fields must agree
+    for key in (DER, OPENSSH, PKCS12, OPENPGP):
+        assert c.private_container(key) and not c.private_container(key[: len(key) // 2])
+        assert c.lines_of(f'blob = "{base64.b64encode(key).decode()}"', "py") == (1,)
+    assert not c.private_container(b"openssh-key-v1\0rest") and not c.private_container(OPENSSH + b"junk after the end")
+    assert not c.private_container(PKCS12.replace(bytes.fromhex("2a864886f70d010701"), bytes.fromhex("2a864886f70d010709")))
     assert not c.private_container(b"") and not c.private_container(DER[:-40]) and not c.private_container(b"0\x10" + b"a" * 16)
 
 
+FORMS = {
+    "base64": lambda t: base64.b64encode(t.encode()).decode(), "hex": lambda t: t.encode().hex(), "percent": lambda t: "".join(f"%{b:02X}" for b in t.encode()), "byte escapes": lambda t: "".join(f"\\x{b:02x}" for b in t.encode()),
+    "code points": lambda t: "".join(f"\\u{b:04x}" for b in t.encode()), "octal": lambda t: "".join(f"\\{b:03o}" for b in t.encode()), "references": lambda t: "".join(f"&#{b};" for b in t.encode()), "wide": lambda t: base64.b64encode(t.encode("utf-16-le")).decode(),
+}
+
+
+@pytest.mark.parametrize("form", FORMS)
+@pytest.mark.parametrize("inner", [f'password = "{PASS}"', f'{{"password": "{PASS}", "user": "x"}}', f"DB_PASSWORD={PASS}", f"db_secret: {PASS}", f"a\nb\nurl=postgres://app:{PASS}@db/x"])
+def test_all_rules_in_every_layer(form, inner):
+    text = FORMS[form](inner)
+    for _ in range(7):
+        assert c.lines_of(f'x = 1\nk = "{text}"\n', "py") == (2,)
+        assert c.redact(f'x = 1\nk = "{text}"\ny = 2\n', "py") == f'x = 1\nk = "{c.MASK}"\ny = 2\n'
+        text = FORMS["base64"](text)
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_harmless_layers_stay(form):
+    for inner in ('password = "<password>"', "the pass was closed by snow for a week", '{"token": null, "user": "x"}', 'secret = os.environ["SECRET"]'):
+        text = FORMS["base64"](FORMS[form](inner))
+        assert c.lines_of(f'k = "{text}"', "py") == ()
+
+
+def test_layers_end_and_binary_and_wrapped_text():
+    assert c.lines_of('k = "' + "%25" * 3000 + "41" + '"', "py") == () and c.lines_of('k = "' + "\\x5c" * 3000 + 'x41"', "py") == ()
+    late = "a" * 300 + "\n" + f'password = "{PASS}"'
+    assert c.lines_of(f'k = "{base64.b64encode(late.encode()).decode()}"', "py") == (1,)
+    assert c.lines_of(f'k = "{base64.b64encode(bytes(range(32)) + TOKEN.encode() + bytes(9)).decode()}"', "py") == (1,)
+    rows = base64.b64encode((f"# settings\nuser=x\nDB_PASSWORD={PASS}\n" * 6).encode()).decode()
+    block = "\n".join("  " + rows[k : k + 76] for k in range(0, len(rows), 76))
+    text = f"data: |\n{block}\nnext: 1\n"
+    assert c.lines_of(text, "yaml") == (2,) and rows[80:120] not in c.redact(text, "yaml") and c.redact(text, "yaml").count("\n") == text.count("\n")
+
+
 def test_tables(spark):
     files = spark.createDataFrame([(1, "a.py", f'x\r\ny = 1\r\nt = "{TOKEN}"', 0), (2, None, None, 0), (3, "b.env", "", 0), (4, "c.py", "x" * 300_000 + f'\nt = "{TOKEN}"', 0), (5, "a.py", f't = "{TOKEN}"; p = "{TOKEN[::-1]}"', 0)], "file_id long, path string, content string, row_key int")
     findings = spark.createDataFrame([(7, f'db_password: "{PASS}"', "x"), (8, None, "x")], "finding_key long, evidence_snippet string, path string")
