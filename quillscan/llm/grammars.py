@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import regex
 
-from quillscan.llm.peg import Grammar
+from quillscan.llm.peg import Grammar, Moved
 
 def _plain(name: str, string: str, call: str, operator: str, depth: int = 3) -> str:
     """The pattern of an expression of names, numbers, strings, operators and calls up to ``depth``."""
@@ -49,26 +51,30 @@ END <- /;|(?=\})|\Z|(?<=\n[^\S\n]*)/
 ID <- /(?!(?:@RESERVED@)(?![\w$]))[\p{L}_$][\w$]*+/
 NAME <- /#?[\p{L}_$][\w$]*+/
 STRING <- /"(?>[^"\\\n]++|\\(?>\r\n|.))*+"|'(?>[^'\\\n]++|\\(?>\r\n|.))*+'/
-TEMPLATE <- /`(?>[^`\\]++|\\.)*+`/
+TEMPLATE <- /`(?>[^`\\$]++|\\.|\$(?!\{))*+`/
+OPENED <- /`(?>[^`\\$]++|\\.|\$(?!\{))*+\$\{/
+BETWEEN <- /\}(?>[^`\\$]++|\\.|\$(?!\{))*+\$\{/
+CLOSED <- /\}(?>[^`\\$]++|\\.|\$(?!\{))*+`/
+Template <- TEMPLATE / OPENED Expr (BETWEEN Expr)* CLOSED
 NUMBER <- /(?>0[xX][\da-fA-F_]++|0[bB][01_]++|0[oO][0-7_]++|(?>\d[\d_]*+(?>\.[\d_]*+)?+|\.\d[\d_]*+)(?>[eE][+-]?\d++)?+)n?+(?![\w$])/
 REGEX <- /\/(?![*\/])(?>[^\/\\\[\n]++|\\[^\n]|\[(?>[^\]\\\n]++|\\[^\n])*+\])++\/[a-z]*+/
 BINARY <- /(?>===?|!==?|>>>(?!=)|\*\*(?!=)|&&(?!=)|\|\|(?!=)|\?\?(?!=)|<<(?!=)|>>(?!=)|[<>]=?|[-+*\/%&|^](?!=)|(?>instanceof|in@AS@)(?![\w$]))/
 ASSIGN <- /(?>=(?![=>])|(?>\*\*|<<|>>>?|&&|\|\||\?\?|[-+*\/%&|^])=)/
-Stmt <- Block / Declared / If / For / While / Do / Try / Switch / Return / 'throw' Expr END / /(?>break|continue)(?![\w$])/ ID? END / Import / Export / 'debugger' END / @EXTRA@ ';' / Label / !ANONYMOUS Expr END
+Stmt <- Block / ';' / Declared / 'with' '(' Expr ')' Stmt / If / For / While / Do / Try / Switch / Return / 'throw' Expr END / /(?>break|continue)(?![\w$])(?>[^\S\n]++(?!(?>@RESERVED@)(?![\w$]))[\p{L}_$][\w$]*+)?+/ END / Import / Export / 'debugger' END / @EXTRA@ Label / !ANONYMOUS Expr END
 ANONYMOUS <- ~/(?>async\s++)?+(?>function|class)(?![\w$])/
 Label <- ID /:(?!:)/ Stmt
 Block <- '{' (FAST / Stmt)* '}'
 Declared <- Var END / &NAMED Function / Class
 NAMED <- ~/(?>async\s++)?+function\s*+\*?\s*+[\p{L}_$]/
-Var <- 'const' Bound (',' Bound)* / /(?>let|var)(?![\w$])/ Binding (',' Binding)*
-Bound <- Target @TYPE@ /=(?![=>])/ Assign
-Binding <- Target @TYPE@ (/=(?![=>])/ Assign)?
+Var <- 'const' Bound (',' Bound)* / /(?>await\s+)?using(?=[^\S\n]+(?!(?>in|of|instanceof)(?![\w$]))[\p{L}_$])/ Bound (',' Bound)* / /(?>let|var)(?![\w$])/ Binding (',' Binding)*
+Bound <- Target @TYPE@ (/=(?![=>])/ Assign)@AMBIENT@
+Binding <- Target @SURE@ @TYPE@ (/=(?![=>])/ Assign)?
 Target <- ID / '{' (Field (',' Field)* ','?)? '}' / '[' (Slot? (',' Slot?)*)? ']'
 Field <- '...' ID / PropName ':' Target (/=(?![=>])/ Assign)? / ID (/=(?![=>])/ Assign)?
 Slot <- '...'? Target (/=(?![=>])/ Assign)?
 If <- 'if' '(' Expr ')' Stmt ('else' Stmt)?
 For <- 'for' 'await'? '(' Loop ')' Stmt
-Loop <- /(?>const|let|var)(?![\w$])/ Target @TYPE@ /(?>of|in)(?![\w$])/ Expr / Postfix 'of' Expr / (/(?>const|let|var)(?![\w$])/ Binding (',' Binding)* / Expr)? ';' Expr? ';' Expr?
+Loop <- /(?>const|let|var)(?![\w$])/ Target @TYPE@ /(?>of|in)(?![\w$])/ Expr / Postfix /(?>of|in)(?![\w$])/ Expr / (/(?>const|let|var)(?![\w$])/ Binding (',' Binding)* / Expr)? ';' Expr? ';' Expr?
 While <- 'while' '(' Expr ')' Stmt
 Do <- 'do' Stmt 'while' '(' Expr ')' END
 Try <- 'try' Block ('catch' ('(' Target @TYPE@ ')')? Block ('finally' Block)? / 'finally' Block)
@@ -76,56 +82,60 @@ Switch <- 'switch' '(' Expr ')' '{' (('case' Expr / 'default') ':' (!CASE Stmt)*
 CASE <- ~/(?>case|default)(?![\w$])/
 Return <- 'return' (!RETURNEND Expr)? END
 RETURNEND <- ~/[;}]/
-Import <- 'import' !IMPORTCALL (STRING / @IMPORTTYPE@ (Clause 'from' STRING)) END
+Import <- 'import' !IMPORTCALL (@IMPORTED@ STRING / @IMPORTTYPE@ (Clause 'from' STRING)) Attributes? END
+Attributes <- /(?>with|assert)(?=\s*\{)/ '{' (PropName ':' STRING (',' PropName ':' STRING)* ','?)? '}'
 IMPORTCALL <- ~/[(.]/
 Clause <- ID (',' Names)? / Names
 Names <- '*' 'as' ID / '{' (Listed (',' Listed)* ','?)? '}'
 Listed <- @LISTED@ (NAME / STRING) ('as' (NAME / STRING))?
-Export <- 'export' ('default' (Function / Class / Assign END) / @EXPORT@ Declared / Names ('from' STRING)? END / '*' ('as' NAME)? 'from' STRING END)
+Export <- 'export' (@EXPORTED@'default' (Function / Class / Assign END) / @EXPORT@ Declared / Names ('from' STRING Attributes?)? END / '*' ('as' (NAME / STRING))? 'from' STRING Attributes? END)
 Function <- 'async'? 'function' '*'? ID? @GENERIC@ Params @RETURNS@ @BODY@
 Params <- '(' (Param (',' Param)* ','?)? ')'
-Param <- @MODS@ '...'? Target @OPT@ @TYPE@ (/=(?![=>])/ Assign)?
+Param <- @THIS@ @MODS@ '...'? Target @OPT@ @TYPE@ (/=(?![=>])/ Assign)?
 Class <- @DECOR@ @ABSTRACT@ 'class' ID? @GENERIC@ ('extends' Postfix @TARGS@)? @IMPL@ '{' Member* '}'
-Member <- ';' / @DECOR@ 'static' Block / @DECOR@ (MODIFIER @MODEND@)* (/(?>get|set)(?=\s+[\w$\[#"'])/ / '*')? (PropName / NAME) @OPT@ (@GENERIC@ Params @RETURNS@ @BODY@ / @TYPE@ (/=(?![=>])/ Assign)? END)
+Member <- ';' / @INDEXED@ @DECOR@ 'static' Block / @DECOR@ (MODIFIER @MODEND@)* (/(?>get|set)(?=\s+[\w$\[#"'])/ / '*')? (PropName / NAME) @OPT@ (@GENERIC@ Params @RETURNS@ @BODY@ / @TYPE@ (/=(?![=>])/ Assign)? END)
 MODIFIER <- /(?>static|async@MODIFIERS@)(?=\s+[\w$\[#*"'{])/
 PropName <- NAME / STRING / NUMBER / '[' Assign ']'
 Expr <- Assign (',' Assign)*
-Assign <- Arrow / Cond (ASSIGN Assign)?
-Arrow <- 'async'? (ID &ARROW / &ARROWAHEAD @GENERIC@ Params @RETURNS@) ARROW (Block / Assign)
+Assign <- Arrow / Postfix ASSIGN Assign / Cond
+Arrow <- 'async'? (ID &ARROW / @GENERIC@ Params @RETURNS@ &ARROW) ARROW (Block / Assign)
 ARROW <- /=>/
-ARROWAHEAD <- ~/(?>async\s*+)?+(?><[^()]*>)?+\((?>[^()]++|\((?>[^()]++|\([^()]*+\))*+\))*+\)\s*+(?>:[^=;{}]*+)?+=>/
-Cond <- Binary (/\?(?![.?])/ Assign ':' Assign)?
+Cond <- Binary (QUERY Assign ':' Assign / QUERY Cond ':' Assign)?
+QUERY <- /\?(?![.?])/
 Binary <- Unary (@CAST@ BINARY Unary)* @CAST1@
-Unary <- /\+\+|--|[-+!~]/ Unary / /(?>typeof|void|delete|await|new)(?![\w$])/ Unary / 'yield' '*'? Assign? / Postfix
+Unary <- @ANGLE@ /\+\+|--|[-+!~]/ Unary / /(?>typeof|void|delete|await|new(?!\s*+\.))(?![\w$])/ Unary / 'yield' '*'? Assign? / Postfix
 Postfix <- Primary Suffix* /(?<!\n\s*)(?>\+\+|--)/?
-Suffix <- '(' Args ')' / '[' Expr ']' / '?.' (NAME / '(' Args ')' / '[' Expr ']') / /\.(?!\.)/ NAME / TEMPLATE @SUFFIX@
+Suffix <- '(' Args ')' / '[' Expr ']' / '?.' (NAME / '(' Args ')' / '[' Expr ']') / /\.(?!\.)/ NAME / Template @SUFFIX@
 Args <- (Arg (',' Arg)* ','?)?
 Arg <- '...'? Assign
-Primary <- NUMBER / STRING / TEMPLATE / REGEX / Function / Class / '[' Items ']' / '{' (Entry (',' Entry)* ','?)? '}' / '(' Expr ')' / CONSTANT / 'import' &IMPORTCALL / ID
+Primary <- NUMBER / STRING / Template / REGEX / Function / Class / '[' Items ']' / '{' (Entry (',' Entry)* ','?)? '}' / '(' Expr ')' / CONSTANT / 'import' &IMPORTCALL / /new\s*+\.\s*+target(?![\w$])/ / /#[\p{L}_$][\w$]*+(?=\s+in(?![\w$]))/ / ID
 CONSTANT <- /(?>this|super|null|true|false)(?![\w$])/
 Items <- NUMBERS? ','* (Arg (','+ Arg)* ','*)?
 Entry <- '...' Assign / (/(?>get|set|async)(?=\s+[\w$\[#"'*])/ / '*')* PropName (Params @RETURNS@ Block / ':' Assign) / ID (/=(?![=>])/ Assign)?
 """
 
-_PLAIN = {"AS": "", "EXTRA": "", "TYPE": "", "IMPORTTYPE": "", "LISTED": "", "EXPORT": "", "GENERIC": "", "RETURNS": "", "BODY": "Block", "MODS": "", "OPT": "", "DECOR": "('@' Postfix)*", "ABSTRACT": "", "TARGS": "", "IMPL": "", "MODEND": "", "MODIFIERS": "", "CAST": "", "CAST1": "", "SUFFIX": ""}
+_PLAIN = {"AS": "", "EXTRA": "", "TYPE": "", "IMPORTTYPE": "", "LISTED": "", "EXPORT": "", "GENERIC": "", "RETURNS": "", "BODY": "Block", "MODS": "", "SURE": "", "AMBIENT": "", "EXPORTED": "", "IMPORTED": "", "ANGLE": "", "INDEXED": "", "THIS": "", "OPT": "", "DECOR": "('@' Postfix)*", "ABSTRACT": "", "TARGS": "", "IMPL": "", "MODEND": "", "MODIFIERS": "", "CAST": "", "CAST1": "", "SUFFIX": ""}
 _TYPED = {
-    "AS": "", "EXTRA": "Typed /", "TYPE": "Ann?", "IMPORTTYPE": "/type(?=\\s+[\\w$*{])(?!\\s+from\\s+[\"'])/?", "LISTED": "/type(?=\\s+\\w)(?!\\s+as\\b)/?", "EXPORT": "Typed / /(?=[\\w@])/", "GENERIC": "Generic?", "RETURNS": "Ann?", "BODY": "(Block / END)", "MODS": "('@' Postfix)* /(?>public|private|protected|readonly)(?=\\s+[\\w$])/*",
-    "OPT": "/[?!](?=\\s*[:,)=;(\\n}])/?", "DECOR": "('@' Postfix)*", "ABSTRACT": "'abstract'?", "TARGS": "TypeArgs?", "IMPL": "('implements' Type (',' Type)*)?", "MODEND": "", "MODIFIERS": "|public|private|protected|readonly|abstract|declare|override", "CAST": "Cast*", "CAST1": "Cast*", "SUFFIX": "/ /!(?![=])/ / TypeArgs &CALL",
+    "AS": "", "EXTRA": "Typed /", "TYPE": "Ann?", "IMPORTTYPE": "/type(?=\\s+[\\w$*{])(?!\\s+from\\s+[\"'])/?", "LISTED": "/type(?=\\s+\\w)(?!\\s+as\\b)/?", "EXPORT": "Typed / /(?=[\\w@])/", "GENERIC": "Generic?", "RETURNS": "Ann?", "BODY": "(Block / END)", "SURE": "/!(?=\\s*:)/?", "AMBIENT": "?", "EXPORTED": "/=(?!=)/ Expr END / 'as' 'namespace' ID END / /type(?=\\s*[*{])/ (Names ('from' STRING Attributes?)? / '*' ('as' NAME)? 'from' STRING Attributes?) END / 'import' ID /=(?!=)/ Required END / ", "IMPORTED": "/type(?=\\s+\\w+\\s*=)/? ID /=(?!=)/ Required /", "ANGLE": "/<(?=[\\p{L}_$])/ Type '>' Unary /", "INDEXED": "MODIFIER* '[' ID ':' Type ']' Ann END /", "THIS": "/this(?![\\w$])/ Ann? /", "MODS": "('@' Postfix)* /(?>public|private|protected|readonly)(?=\\s+[\\w$])/*",
+    "OPT": "/[?!](?=\\s*[:,)=;(\\n}])/?", "DECOR": "('@' Postfix)*", "ABSTRACT": "'abstract'?", "TARGS": "TypeArgs?", "IMPL": "('implements' Type (',' Type)*)?", "MODEND": "", "MODIFIERS": "|public|private|protected|readonly|abstract|declare|override|accessor", "CAST": "Cast*", "CAST1": "Cast*", "SUFFIX": "/ /!(?![=])/ / TypeArgs &CALL",
 }
 _TYPES = r"""
-CALL <- ~/\(/
+CALL <- ~/[(`]/
+QUESTION <- ~/\?/
 Cast <- /(?>as|satisfies)(?![\w$])/ ('const' / Type)
-Ann <- ':' ('asserts' ID)? Type
+Required <- 'require' '(' STRING ')' / ID ('.' NAME)*
+Ann <- ':' (/asserts(?=\s+[\w$])/ (ID / 'this') ('is' Type)? / Type)
 Generic <- '<' TypeParam (',' TypeParam)* ','? '>'
-TypeParam <- 'const'? ID ('extends' Type)? (/=(?!=)/ Type)?
+TypeParam <- /(?>const|in|out)(?=\s+[\w$])/* ID ('extends' Type)? (/=(?!=)/ Type)?
 TypeArgs <- '<' Type (',' Type)* '>'
-Type <- FnType / /[|&](?![|&])/? TypeItem (/[|&](?![|&])/ TypeItem)* ('extends' TypeItem /\?/ Type ':' Type)?
-FnType <- 'new'? Generic? Params '=>' Type
+Type <- FnType / Union ('extends' (FnType / Union) /\?/ Type ':' Type)?
+Union <- /[|&](?![|&])/? TypeItem (/[|&](?![|&])/ TypeItem)*
+FnType <- 'abstract'? 'new'? Generic? Params '=>' (/asserts(?=\s+[\w$])/ (ID / 'this') ('is' Type)? / Type)
 TypeItem <- TypeUnit (/(?<!\n\s*)\[/ Type? ']')*
-TypeUnit <- /(?>keyof|readonly|unique|infer|typeof)(?=\s+[\w$({\["'])/ TypeUnit / STRING / TEMPLATE / /-?/ NUMBER / '{' TypeMember* '}' / '[' (('...'? ID /\??:/)? '...'? Type /\?/? (',' ('...'? ID /\??:/)? '...'? Type /\?/?)* ','?)? ']' / '(' Type ')' / TYPENAME ('.' NAME)* TypeArgs? ('is' Type)?
+TypeUnit <- /import(?=\s*\()/ '(' Type (',' Type)? ')' ('.' NAME)* TypeArgs? / /infer(?=\s+\w)/ ID ('extends' Union !QUESTION)? / /(?>keyof|readonly|unique|typeof)(?=\s+[\w$({\["'])/ TypeUnit / STRING / TEMPLATE / OPENED Type (BETWEEN Type)* CLOSED / /-?/ NUMBER / '{' TypeMember* '}' / '[' (('...'? ID /\??:/)? '...'? Type /\?/? (',' ('...'? ID /\??:/)? '...'? Type /\?/?)* ','?)? ']' / '(' Type ')' / TYPENAME ('.' NAME)* TypeArgs? ('is' Type)?
 TYPENAME <- /[\p{L}_$][\w$]*+/
-TypeMember <- /[;,]/ / /(?>[-+]?readonly)(?=\s+[\w$\[])/? ('[' ID ':' Type ']' / '[' ID 'in' Type ('as' Type)? ']' /[-+]?\??/ / PropName /\??/)? (Generic? Params Ann? / Ann)? /[;,]|(?=\})|(?<=\n[^\S\n]*)/
-Typed <- 'interface' ID Generic? ('extends' Type (',' Type)*)? '{' TypeMember* '}' / 'type' ID Generic? '=' Type END / 'const'? 'enum' ID '{' (PropName ('=' Assign)? (',' PropName ('=' Assign)?)* ','?)? '}' / /(?>namespace|module)(?=\s+[\w$"'])/ (STRING / ID ('.' ID)*) Block / 'declare' (Typed / /(?>const|let|var)(?![\w$])/ Binding (',' Binding)* END / Function / Declared / 'global' Block / Stmt)
+TypeMember <- /[;,]/ / /(?>[-+]?readonly)(?=\s+[\w$\["'])/? /(?>get|set)(?=\s+[\w$\["'])/? ('[' ID ':' Type ']' / '[' ID 'in' Type ('as' Type)? ']' /[-+]?\??/ / PropName /\??/)? ('new'? Generic? Params Ann? / Ann)? /[;,]|(?=\})|(?<=\n[^\S\n]*)/
+Typed <- 'interface' ID Generic? ('extends' Type (',' Type)*)? '{' TypeMember* '}' / 'type' ID Generic? '=' Type END / 'const'? 'enum' ID '{' (PropName ('=' Assign)? (',' PropName ('=' Assign)?)* ','?)? '}' / /(?>namespace|module)(?=\s+[\w$"'])/ (STRING / ID ('.' ID)*) Block / /global(?=\s*\{)/ Block / 'declare' (Typed / /(?>const|let|var)(?![\w$])/ Binding (',' Binding)* END / Function / Declared / 'global' Block / Stmt)
 """
 
 
@@ -147,7 +157,8 @@ _JAVA_FAST = rf"(?>(?>var [a-zA-Z_$][\w$]*+ = {_JAVA_PLAIN}|return {_JAVA_PLAIN}
 
 JAVA = Grammar(
     r"""
-File <- Annotation* ('package' Qualified ';')? Import* Type* EOF
+File <- Annotation* ('package' Qualified ';')? Import* (Annotation* 'open'? 'module' Qualified '{' Directive* '}' / Type*) EOF
+Directive <- /(?>requires|exports|opens|uses|provides)(?=\s)/ /(?>static|transitive)(?=\s)/* Qualified (/(?>to|with)(?=\s)/ Qualified (',' Qualified)*)? ';'
 EOF <- ~/\Z/
 Import <- 'import' 'static'? Qualified ('.' '*')? ';'
 Qualified <- ID ('.' ID)*
@@ -195,7 +206,7 @@ CASE <- ~/(?>case|default)(?![\w$])/
 CaseItem <- Local / 'default' / Cond
 Call <- /\+\+|--/ Unary / Postfix (ASSIGN Expr)?
 ASSIGN <- /(?>=(?!=)|(?>>>>?|<<|[-+*\/%&|^])=)/
-Expr <- Lambda / Cond (ASSIGN Expr)?
+Expr <- Lambda / Postfix ASSIGN Expr / Cond
 Lambda <- &LAMBDA (ID / '(' (ID (',' ID)* / Params)? ')') '->' (Block / Expr)
 LAMBDA <- ~/(?>[\p{L}_$][\w$]*+|\([^()]*+\))\s*+->/
 Cond <- Binary ('?' (Lambda / Cond) ':' (Lambda / Cond))?
@@ -205,7 +216,7 @@ Unary <- /\+\+|--|[-+!~](?!=)/ Unary / Cast / Postfix
 Cast <- '(' PRIMITIVE ('[' ']')* ')' Unary / '(' Ref ('&' Ref)* ')' &CASTED (Lambda / Unary)
 CASTED <- ~/[\p{L}_$"'\d(!~]/
 Postfix <- Primary Suffix* /\+\+|--/?
-Suffix <- '.' ('new' Creator / TypeArgs? (ID / 'this' / 'super' / 'class')) / '(' Args ')' / '[' Expr ']' / '::' (ID / 'new')
+Suffix <- '.' ('new' Creator / TypeArgs? (ID / 'this' / 'super' / 'class')) / '(' Args ')' / ('[' ']')+ ('.' 'class' / '::' 'new') / '[' Expr ']' / '::' (ID / 'new')
 Args <- (Expr (',' Expr)*)?
 Primary <- NUMBER / STRING / CHAR / /(?>true|false|null|this|super)(?![\w$])/ / 'switch' &PAREN Switch1 / '(' Expr ')' / 'new' Creator / (PRIMITIVE / 'void') ('[' ']')* ('.' 'class' / '::' 'new') / ID (('[' ']')+ ('.' 'class' / '::' 'new') / TypeArgs '::' (ID / 'new'))?
 PAREN <- ~/\(/
@@ -295,9 +306,13 @@ Element <- (Literal / Expr) (':' (Literal / Expr))?
 )
 
 
-def _go_text(text: str) -> str:
+CARRIAGE = regex.compile(r"\r\n")
+_GO_PIECE = regex.compile(r"/\*(?>[^*]++|\*(?!/))*+\*/|\"(?>[^\"\\\n]++|\\[^\n])*+\"|`[^`]*+`|'(?>[^'\\\n]|\\[^'\n]++|\\')'|//[^\n]*+")
+
+
+def _go_text(text: Moved) -> Moved:
     # a comment over several lines stands for a line end, as the language has it
-    return regex.sub(r"/\*(?>[^*]++|\*(?!/))*+\*/|\"(?>[^\"\\\n]++|\\[^\n])*+\"|`[^`]*+`|//[^\n]*+", lambda m: ("\n" if "\n" in m[0] else " ") if m[0].startswith("/*") else "" if m[0].startswith("//") else m[0], text.replace("\r\n", "\n"))
+    return text.sub(CARRIAGE, lambda m: "\n").sub(_GO_PIECE, lambda m: ("\n" if "\n" in m[0] else " ") if m[0].startswith("/*") else "" if m[0].startswith("//") else m[0])
 
 
 GO.prepare = _go_text
@@ -325,40 +340,41 @@ Def <- /(?>private|public|protected|module_function|private_class_method)(?=\s+d
 PARAMSTART <- ~/[\p{L}_*&]/
 DefName <- /(?>(?>self|[A-Z]\w*+|[a-z_]\w*+)\.)?(?>[\p{L}_]\w*+(?>[?!]|=(?=\s*\())?+|\[\]=?|[-+!~]@?|\*\*?|[\/%&|^]|<=>|<<|>>|<=?|>=?|===?|=~|!=)/
 Params <- (Param (',' SEP? Param)*)?
-Param <- /\*\*?|&|\.\.\./ ID? / ID (/:(?!:)/ (Ternary)? / /=(?![=~>])/ Ternary)? / '(' Params ')'
+Param <- /\*\*?|&|\.\.\./ ID? / ID (/:(?!:)/ (Ternary)? / /=(?![=~>])/ Ternary)? / '(' Params ','? ')'
 ID <- /(?!(?>@KW@)(?![\w?!:]))[a-z_\p{Ll}]\w*+/
 Class <- 'class' ('<<' Full / CONST ('<' Full)?) Body 'end'
 Module <- 'module' CONST Body 'end'
 CONST <- /(?>::)?[A-Z]\w*+(?>::[A-Z]\w*+)*+/
 Body <- Stmts Rescue* ('else' Stmts)? ('ensure' Stmts)?
-Rescue <- 'rescue' ((Ternary (',' Ternary)*)? ('=>' Lhs)?)? /then(?!\w)/? Stmts
+Rescue <- 'rescue' (('*'? Ternary (',' SEP? '*'? Ternary)*)? ('=>' Lhs)?)? /then(?!\w)/? Stmts
 Lhs <- Postfix
 Full <- Not (/(?>and|or)(?!\w)/ SEP? Not)*
 Not <- 'not' Not / Jump / Multi / Expr
 Jump <- /(?>return|break|next)(?![\w?!])/ (&ARGSTART Args)?
 ARGSTART <- ~/(?!(?>if|unless|while|until|rescue|and|or|end|then|do)(?![\w?!:]))[^\s;})\]]/
-Multi <- Target (',' Target)+ /=(?![=~>])/ SEP? Args
-Target <- '*'? Postfix
+Multi <- Target ((',' Target)+ ','? / ',')? &EQUAL /=(?![=~>])/ SEP? Args
+EQUAL <- ~/=(?![=~>])/
+Target <- '(' Target (',' Target)* ','? ')' / '*' Postfix? / Postfix
 Expr <- Assign
-Assign <- Ternary (ASSIGN SEP? (Jump / Assign (',' Splat)*) (/rescue(?!\w)/ Assign)?)?
+Assign <- Ternary (ASSIGN SEP? (Jump / /\*(?=[\w@$(\[])/ Ternary (',' SEP? Splat)* / Assign (',' SEP? Splat)*) (/rescue(?!\w)/ Assign)?)?
 ASSIGN <- /(?>=(?![=~>])|(?>\*\*|<<|>>|&&|\|\||[-+*\/%&|^])=)/
-Ternary <- Range (/\?(?=[\s])/ SEP? Ternary SEP? /:(?!:)/ SEP? Ternary)?
+Ternary <- Range (/\?(?=\s)|(?<=[\])])\?/ SEP? Ternary SEP? /:(?!:)/ SEP? Ternary)?
 Range <- /\.\.\.?/ Binary / Binary (/\.\.\.?/ Binary?)?
 Binary <- Unary (BINARY SEP? Unary)*
 BINARY <- /(?><=>|===?|=~|!=|!~|\*\*(?!=)|&&(?!=)|\|\|(?!=)|<<(?![=~A-Z"'-])|<<(?=\s)|>>(?!=)|[<>]=?|[-+*\/%&|^](?!=))/
 Unary <- /!(?![=~])|[-+~](?=[\w@$(\[:"'])|&(?=[:\w])/ Unary / 'defined?' Unary / Postfix
 Postfix <- Primary Suffix*
-Suffix <- /(?>\s*\n\s*(?>#[^\n]*\n\s*)*)?(?>&\.|\.(?!\.))/ (METHOD / '(') Call? / /(?<=[^\s])::/ (CONSTNAME / METHOD) Call? / /(?<![\s,])\[/ SEP? ArgList? SEP? ']' / ParenArgs Blocked? / Blocked
+Suffix <- /(?>\s*\n\s*(?>#[^\n]*\n\s*)*)?(?>&\.|\.(?!\.))(?>\s*\n\s*(?>#[^\n]*\n\s*)*)?/ (METHOD / '(') Call? / /(?<=[^\s])::/ (CONSTNAME / METHOD) Call? / /(?<![\s,])\[/ SEP? ArgList? SEP? ']' / ParenArgs Blocked? / Blocked
 CONSTNAME <- /[A-Z]\w*+/
 METHOD <- /[\p{L}_]\w*+[?!]?(?!=(?![=~>]))|[\p{L}_]\w*+|[-+*\/%<>=!~^&|\[\]]+(?=[\s(])/
 Call <- ParenArgs Blocked? / &SPACEARG Args Blocked?
 ParenArgs <- /(?<=[\w?!])\(/ SEP? ArgList? SEP? ')'
-SPACEARG <- ~/(?<=[\w?!][ \t]+)(?!(?>if|unless|while|until|rescue|and|or|end|then|do|in)(?![\w?!:]))(?>[\p{L}_@$"'\d:]|\[(?!\s)|->|[-*&!](?=[\w@$:"'(\[])|::[A-Z]|<<[~-]?["'A-Z]|%[wiqQ]?[\[({<|])/
+SPACEARG <- ~/(?<=[\w?!][ \t]+)(?!(?>if|unless|while|until|rescue|and|or|end|then|do|in)(?![\w?!:]))(?>[\p{L}_@$"'\d:(]|\[(?!\s)|\/(?![\s=])|->|[-*&!](?=[\w@$:"'(\[])|::[A-Z]|<<[~-]?["'A-Z]|%[wiqQ]?[\[({<|])/
 Blocked <- /do(?!\w)/ BlockParams? Body 'end' / '{' BlockParams? Stmts '}'
-BlockParams <- '|' (Params (';' ID (',' ID)*)?)? '|'
+BlockParams <- '|' (Params ','? (';' ID (',' ID)*)?)? '|'
 Args <- Arg (',' SEP? Arg)*
 ArgList <- Arg (SEP? ',' SEP? Arg)* (SEP? ',')?
-Arg <- Splat / LABEL SEP? (Jump / NoComma)? / NoComma (/=>/ SEP? NoComma)?
+Arg <- /\*\*?|&/ Ternary? / LABEL SEP? (Jump / NoComma)? / NoComma (/=>/ SEP? NoComma)?
 Splat <- /\*\*?|&/ Ternary? / NoComma
 NoComma <- 'not' NoComma / Ternary (ASSIGN SEP? NoComma)?
 LABEL <- /(?>[\p{L}_]\w*+[?!]?|"(?>[^"\\]++|\\.)*+"|'(?>[^'\\]++|\\.)*+'):(?!:)/
@@ -367,12 +383,16 @@ ID1 <- /(?!(?>@KW@)(?![\w?!:]))[a-z_\p{Ll}]\w*+[?!]?(?!=(?![=~>]))|(?!(?>@KW@)(?
 CONSTANT <- /(?>::)?[A-Z]\w*+/
 KEYWORDVALUE <- /(?>nil|true|false|self|__FILE__|__dir__|__method__|__LINE__|yield|super|redo|retry)(?![\w?!])/
 VARIABLE <- /@@?[\p{L}_]\w*+|\$(?>[\p{L}_]\w*+|\d+|[!@&~?:;,.<>0-9*$"'\/\\])/
-Strings <- STRING+
-STRING <- /"(?>[^"\\#]++|\\.|#(?!\{)|#\{(?>[^{}"]++|"(?>[^"\\]++|\\.)*+"|\{[^{}]*+\})*+\})*+"|'(?>[^'\\]++|\\.)*+'|`(?>[^`\\]++|\\.)*+`|\?[\p{L}_](?!\w)/
-SYMBOL <- /:(?>"(?>[^"\\]++|\\.)*+"|'(?>[^'\\]++|\\.)*+'|[\p{L}_]\w*+[?!=]?(?!=>)|[\p{L}_]\w*+|\[\]=?|[-+*\/<>=!~%&|^]+)/
+Strings <- (STRING / Filled)+
+STRING <- /"(?>[^"\\#]++|\\.|#(?!\{))*+"|'(?>[^'\\]++|\\.)*+'|`(?>[^`\\]++|\\.)*+`|\?[\p{L}_](?!\w)/
+Filled <- OPENED Stmts (BETWEEN Stmts)* CLOSED
+OPENED <- /"(?>[^"\\#]++|\\.|#(?!\{))*+#\{/
+BETWEEN <- /\}(?>[^"\\#]++|\\.|#(?!\{))*+#\{/
+CLOSED <- /\}(?>[^"\\#]++|\\.|#(?!\{))*+"/
+SYMBOL <- /:(?>(?>@@?|\$)[\p{L}_]\w*+|"(?>[^"\\]++|\\.)*+"|'(?>[^'\\]++|\\.)*+'|[\p{L}_]\w*+[?!=]?(?!=>)|[\p{L}_]\w*+|\[\]=?|[-+*\/<>=!~%&|^]+)/
 HEREDOC <- /<<[~-]?(?>"\w+"|'\w+'|[A-Z_]\w*+)/
-PERCENT <- /%[wWiIqQrsx]?(?>\[(?>[^\[\]\\]++|\\.|\[[^\]]*\])*+\]|\((?>[^()\\]++|\\.|\([^)]*\))*+\)|\{(?>[^{}\\]++|\\.|\{[^}]*\})*+\}|<[^>]*+>|\|[^|]*+\||![^!]*+!)[a-z]*+/
-REGEX <- /\/(?![\s=])(?>[^\/\\\[\n]++|\\.|\[(?>[^\]\\\n]++|\\.)*+\])*+\/[a-z]*+/
+PERCENT <- /%[wWiIqQrsx]?(?>\[(?>[^\[\]\\]++|\\.|\[[^\]]*\])*+\]|\((?>[^()\\]++|\\.|\([^)]*\))*+\)|\{(?>[^{}\\]++|\\.|\{[^}]*\})*+\}|<[^>]*+>|\|[^|]*+\||![^!]*+!|(?<=%[a-zA-Z])\/(?>[^\/\\]++|\\.)*+\/)[a-z]*+/
+REGEX <- /\/(?>[^\/\\\[]++|\\.|\[(?>[^\]\\\n]++|\\.)*+\]|\[)*+\/[a-z]*+/
 NUMBER <- /(?>0[xX][\da-fA-F_]++|0[bB][01_]++|\d[\d_]*+(?>\.\d[\d_]*+)?+(?>[eE][+-]?\d++)?+)[ri]?+(?!\w)/
 Pair <- /\*\*/ Ternary / LABEL SEP? NoComma? / NoComma /=>/ SEP? NoComma
 If <- 'if' Full Then Stmts ('elsif' Full Then Stmts)* ('else' Stmts)? 'end'
@@ -388,26 +408,47 @@ Lambda <- '->' ('(' Params ')' / Params)? ('{' Stmts '}' / /do(?!\w)/ Body 'end'
 )
 
 
-def _ruby_text(text: str) -> str:
+BLOCK_COMMENT = regex.compile(r"^=begin\b.*?(?:^=end\b[^\n]*\n?|\Z)|^__END__[ \t]*$.*", regex.S | regex.M)
+QUOTED = regex.compile(r"(?<!<<)(?<!<<[~-])(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*')")
+HERE = regex.compile(r"<<([~-]?)(?:([\"'`])([^\"'`\n]+)\2|([\p{L}_]\w*))")
+
+
+def _here(line: str) -> list[tuple[str, str]]:
+    """(indent sign, end word) of the here-documents that a line opens."""
+    bare = regex.sub(r"#(?!\{).*", "", QUOTED.sub('""', line))
+    return [(m[1], m[3] or m[4]) for m in HERE.finditer(bare) if m[1] or m[3] or m[4][0].isupper() and not regex.search(r"(?:class|[\w)\]]) ?$", bare[: m.start()])]
+
+
+def _ruby_text(text: Moved) -> Moved:
     """Without block comments, text after __END__ and bodies of here-documents."""
-    text = text.replace("\r\n", "\n")
-    text = regex.sub(r"(?m)^=begin\b.*?(?:^=end\b[^\n]*\n?|\Z)", "", text, flags=regex.S | regex.M)
-    text = regex.split(r"(?m)^__END__[ \t]*$", text, maxsplit=1)[0]
-    if "<<" not in text:
-        return text
-    out, waiting = [], []
-    for line in text.split("\n"):
+    text = text.sub(CARRIAGE, lambda m: "\n")
+    if "<<" not in text.text:
+        return text.sub(BLOCK_COMMENT, lambda m: "")
+
+    def pieces() -> Iterator[tuple[str, int]]:
+        # block comments are looked for outside here-documents alone
+        at, waiting, whole, inside = 0, [], text.text, False
+        for line in whole.split("\n"):
+            start, at = at, at + len(line) + 1
+            if waiting:
+                if line.strip() == waiting[0][1] and (waiting[0][0] or line == waiting[0][1]):
+                    waiting.pop(0)
+                continue
+            if inside:
+                inside = not regex.match(r"=end\b", line)
+                continue
+            if regex.match(r"=begin\b", line):
+                inside = True
+                continue
+            if regex.fullmatch(r"__END__[ \t]*", line):
+                return
+            yield (line + "\n" if at <= len(whole) else line), start
+            if "<<" in line and not line.startswith("<<<<"):
+                waiting = _here(line)
         if waiting:
-            if line.strip() == waiting[0][1] and (waiting[0][0] or line == waiting[0][1]):
-                waiting.pop(0)
-            continue
-        out.append(line)
-        if "<<" in line and not line.startswith("<<<<"):
-            bare = regex.sub(r"#(?!\{).*", "", regex.sub(r"(?<!<<)(?<!<<[~-])(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*')", '""', line))
-            waiting = [(m[1], m[3] or m[4]) for m in regex.finditer(r"<<([~-]?)(?:([\"'])(\w+)\2|([A-Z_]\w*))", bare) if m[1] or m[4] or m[3]]
-    if waiting:
-        out.append("(")  # an open here-document can't be accepted
-    return "\n".join(out)
+            yield "(", len(whole)  # an open here-document can't be accepted
+
+    return text.pieces(pieces())
 
 
 RUBY.prepare = _ruby_text
@@ -415,6 +456,22 @@ RUBY.prepare = _ruby_text
 PY_KEYWORDS = "False|None|True|and|as|assert|async|await|break|class|continue|def|del|elif|else|except|finally|for|from|global|if|import|in|is|lambda|nonlocal|not|or|pass|raise|return|try|while|with|yield"
 _PY_PLAIN = _plain(rf"(?!(?>{PY_KEYWORDS})(?!\w))[a-zA-Z_]\w*+(?! ?[=(.\[\"':])", r'"(?>[^"\\\n]++|\\[^\n])*+"', rf"(?!(?>{PY_KEYWORDS})(?!\w))[a-zA-Z_]\w*+", r"[-+*%](?![-+*=])")
 _PY_FAST = rf"(?>(?>(?!(?>{PY_KEYWORDS})(?!\w))[a-zA-Z_]\w*+ \+?= {_PY_PLAIN}|return {_PY_PLAIN}|{_PY_PLAIN})[ \t]*+\n)++".replace("/", r"\/")
+#: The quote of each kind of formatted string and what else its text may hold.
+_FORMATTED = {"A": ('"""', '"(?!"")'), "B": ("'''", "'(?!'')"), "C": ('"(?!"")', ""), "D": ("'(?!'')", "")}
+
+
+def _formatted(kind: str, opened: str, more: str) -> str:
+    """The rules of a kind of formatted string: text, and fields with an expression, a conversion and a nested format."""
+    close = opened.split("(")[0]
+    but, also = close[0] + ("" if more else r"\n"), f"|{more}" if more else ""
+    return rf"""
+OPEN{kind} <- ~/(?>[fFtT][rR]?+|[rR][fFtT]){opened}/
+TEXT{kind} <- ~/(?>[^{but}\\{{}}]++|\\N\{{[A-Z][^{{}}\n]*+\}}|\\[^{{}}]|\\(?=[{{}}])|\{{\{{|\}}\}}{also})++/
+CLOSE{kind} <- /{close}/
+SPEC{kind} <- ~/(?>[^{but}{{}}]++{also})++/
+Field{kind} <- '{{' (Yield / Star) /=(?!=)/? /![rsa](?=[ ]*[:}}])/? (~/:/ (SPEC{kind} / Field{kind})*)? ~/\}}/"""
+
+
 PYTHON = Grammar(
     r"""
 File <- (FAST / Stmt)* EOF
@@ -428,11 +485,13 @@ ID <- /(?!(?>@KW@)(?!\w))[\p{L}_]\w*+/
 Stmt <- Compound / Simple
 Block <- NEWLINE INDENT (FAST / Stmt)+ DEDENT / Simple
 Simple <- Small (';' Small)* ';'? NEWLINE
-Small <- /(?>pass|break|continue)(?!\w)/ / 'return' Star? / 'raise' (Test ('from' Test)?)? / 'import' Dotted ('as' ID)? (',' Dotted ('as' ID)?)* / From / /(?>global|nonlocal)(?!\w)/ ID (',' ID)* / 'del' Star / 'assert' Test (',' Test)? / 'type' ID TypeParams? /=(?!=)/ Test / Assignment
+Small <- /(?>pass|break|continue)(?!\w)/ / 'return' Star? / 'raise' (Test ('from' Test)?)? / 'import' Dotted ('as' ID)? (',' Dotted ('as' ID)?)* / From / /(?>global|nonlocal)(?!\w)/ ID (',' ID)* / 'del' Targets / 'assert' Test (',' Test)? / 'type' ID TypeParams? /=(?!=)/ Test / Yield / Assignment
 Dotted <- ID ('.' ID)*
 From <- 'from' (/\.+/ Dotted? / Dotted) 'import' ('*' / '(' Names ','? ')' / Names)
 Names <- ID ('as' ID)? (',' ID ('as' ID)?)*
-Assignment <- Star (':' Test (/=(?!=)/ Right)? / AUGMENT Right / (/=(?!=)/ Right)*)
+Assignment <- (Targets /=(?!=)/)+ Right / (Single / '(' Single ')') ':' Test (/=(?!=)/ Right)? / (Single / '(' Single ')') AUGMENT Right / Star
+Single <- Atom (Suffix &MORE)* ('.' ID / '[' Subscript (',' Subscript)* ','? ']') / ID
+MORE <- ~/[.(\[]/
 AUGMENT <- /(?>\*\*|\/\/|<<|>>|[-+*\/%&|^@])=/
 Right <- Yield / Star
 Yield <- 'yield' ('from' Test / Star)?
@@ -451,11 +510,11 @@ Item <- Test ('as' Target)?
 Match <- /match(?!\w)(?=[^=\n]*:)/ Star ':' NEWLINE INDENT ('case' Pattern ('if' Named)? ':' Block)+ DEDENT
 Pattern <- OrPattern ('as' ID)? (',' (OrPattern ('as' ID)?)?)*
 OrPattern <- Closed ('|' Closed)*
-Closed <- '*' ID / '-'? NUMBER / Strings / /(?>None|True|False)(?!\w)/ / '(' Pattern? ')' / '[' Pattern? ']' / '{' ((Test ':' OrPattern / '**' ID) (',' (Test ':' OrPattern / '**' ID))* ','?)? '}' / Dotted ('(' ((ID /=(?!=)/)? OrPattern ('as' ID)? (',' (ID /=(?!=)/)? OrPattern ('as' ID)?)* ','?)? ')')?
+Closed <- '*' ID / '-'? NUMBER (/[-+](?!=)/ NUMBER)? / Strings / /(?>None|True|False)(?!\w)/ / '(' Pattern? ')' / '[' Pattern? ']' / '{' ((Test ':' OrPattern / '**' ID) (',' (Test ':' OrPattern / '**' ID))* ','?)? '}' / Dotted ('(' ((ID /=(?!=)/)? OrPattern ('as' ID)? (',' (ID /=(?!=)/)? OrPattern ('as' ID)?)* ','?)? ')')?
 Targets <- Target (',' Target)* ','?
-Target <- '*' Target / '(' Targets ')' / '[' Targets ']' / Primary
+Target <- '*' Target / Single / '(' Targets? ')' / '[' Targets? ']'
 Params <- (Param (',' Param)* ','?)?
-Param <- '\/' / /\*\*?/ (ID (':' Star)?)? / ID (':' Test)? (/=(?!=)/ Test)?
+Param <- '\/' / /\*\*?/ (ID (':' StarItem)?)? / ID (':' Test)? (/=(?!=)/ Test)?
 LambdaParams <- (LambdaParam (',' LambdaParam)* ','?)?
 LambdaParam <- '\/' / /\*\*?/ ID? / ID (/=(?!=)/ Test)?
 Star <- StarItem (',' StarItem)* ','?
@@ -473,81 +532,106 @@ Unary <- /[-+~]/ Unary / 'await'? Primary ('**' Unary)?
 Primary <- Atom Suffix*
 Suffix <- '(' Args ')' / '[' Subscript (',' Subscript)* ','? ']' / '.' ID
 Subscript <- '*' Or / Named? ':' Test? (':' Test?)? / Named
-Args <- (Arg (',' Arg)* ','?)?
-Arg <- /\*\*?/ Test / ID /=(?!=)/ Test / Named Comp*
+Args <- ((Positional (',' Positional)* (',' Keyword)* / Keyword (',' Keyword)*) ','?)?
+Positional <- /\*(?!\*)/ Test / !KEYWORD Named Comp*
+KEYWORD <- ~/\w++[ \t\f]*+=(?!=)/
+Keyword <- ID /=(?!=)/ Test / /\*\*?/ Test
 Comp <- 'async'? 'for' Targets 'in' OrTest ('if' (OrTest !ELSE / Named))*
 ELSE <- ~/if(?!\w)[^\n]*else/
 Atom <- Strings / ID / NUMBER / /(?>None|True|False)(?!\w)/ / '...' / '(' (Yield / Group)? ')' / '[' NUMBERS? Group? ']' / '{' Braces? '}'
 Group <- StarItem (Comp+ / (',' StarItem)* ','?)
 Braces <- '**' Or DictRest / Test ':' Test (Comp+ / DictRest) / Group
 DictRest <- (',' ('**' Or / Test ':' Test))* ','?
-Strings <- STRING+
-STRING <- /(?>[rRbBfFuUtT]{0,2}+)(?>\"\"\"(?>[^"\\]++|\\.|"(?!""))*+\"\"\"|'''(?>[^'\\]++|\\.|'(?!''))*+'''|"(?>[^"\\\n]++|\\.)*+"|'(?>[^'\\\n]++|\\.)*+')/
+Strings <- (STRING / Formatted)+
+Formatted <- @FORMATTED@
+@FIELDS@
+STRING <- /(?>[uU]|[rR][bB]?+|[bB][rR]?+)?+(?>\"\"\"(?>[^"\\]++|\\.|"(?!""))*+\"\"\"|'''(?>[^'\\]++|\\.|'(?!''))*+'''|"(?>[^"\\\n]++|\\.)*+"|'(?>[^'\\\n]++|\\.)*+')/
 NUMBER <- /(?>0[xX](?>_?[\da-fA-F])++|0[bB](?>_?[01])++|0[oO](?>_?[0-7])++|0++(?>_0)*+(?![\d.eEjJ_])|(?>(?>[1-9](?>_?\d)*+|0++(?=[.eEjJ])|\d++(?=\.))(?>\.(?>\d(?>_?\d)*+)?+)?+|\.\d(?>_?\d)*+)(?>[eE][+-]?\d(?>_?\d)*+)?+[jJ]?+)(?!\w)/
-""".replace("@KW@", PY_KEYWORDS).replace("@FAST@", _PY_FAST),
+""".replace("@KW@", PY_KEYWORDS)
+    .replace("@FAST@", _PY_FAST)
+    .replace("@FORMATTED@", " / ".join(f"OPEN{k} (TEXT{k} / Field{k})* CLOSE{k}" for k in _FORMATTED))
+    .replace("@FIELDS@", "".join(_formatted(k, *x) for k, x in _FORMATTED.items())),
     r"[ \t\f]*+",
 )
 
-PY_PIECE = regex.compile(r"(?>[rRbBfFuUtT]{0,2}+)(?>\"\"\"(?>[^\"\\]++|\\.|\"(?!\"\"))*+\"\"\"|'''(?>[^'\\]++|\\.|'(?!''))*+'''|\"(?>[^\"\\\n]++|\\.)*+\"|'(?>[^'\\\n]++|\\.)*+')|#[^\n]*+|[(\[{]|[)\]}]|\\\n|\n[ \t\f]*+", regex.S)
+_PY_QUOTED = r"\"\"\"(?>[^\"\\]++|\\.|\"(?!\"\"))*+\"\"\"|'''(?>[^'\\]++|\\.|'(?!''))*+'''|\"(?>[^\"\\\n]++|\\.)*+\"|'(?>[^'\\\n]++|\\.)*+'"
+_PY_INSIDE = r"(?>\{\{|\}\}|(?&field)|\\N\{[A-Z][^{}\n]*+\}|\\[^{}]|\\(?=[{}])|"
+PY_PIECE = regex.compile(
+    r"(?(DEFINE)(?<field>\{(?>[^{}\"'#]++|(?&formatted)|" + _PY_QUOTED + r"|(?&field)|[\"'#])*+\})(?<formatted>(?<!\w)(?>[fFtT][rR]?+|[rR][fFtT])(?>"
+    + rf"\"\"\"{_PY_INSIDE}[^\"\\{{}}]++|\"(?!\"\"))*+\"\"\"|'''{_PY_INSIDE}[^'\\{{}}]++|'(?!''))*+'''|\"{_PY_INSIDE}[^\"\\{{}}\n]++)*+\"|'{_PY_INSIDE}[^'\\{{}}\n]++)*+')))"
+    + rf"(?=[fFtTrR\"'#()\[\]{{}}\\\n])(?:(?<f>(?&formatted))|{_PY_QUOTED}|#[^\n]*+|[(\[{{]|[)\]}}]|\\\n|\n[ \t\f]*+)",
+    regex.S,
+)
 
 
-def _python_text(text: str) -> str:
+def _python_text(text: Moved) -> Moved:
     """Logical lines with indent and dedent marks; comments and blank lines are dropped.
 
     A dedent to a column that no open block has becomes a mark that no rule takes.
     """
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    if "\x01" in text or "\x02" in text or "\0" in text:
-        return "\0"
-    if text.startswith("﻿"):
-        text = text[1:]
-    text = "\n" + text.rstrip() + "\n"
-    out: list[str] = []
-    stack, depth, at, blank = [0], 0, 0, True
-    n = len(text)
-    for m in PY_PIECE.finditer(text):
-        s = m.start()
-        if s > at:
-            out.append(text[at:s])
-        at = m.end()
-        c = text[s]
-        if c == "\n":
-            nxt = text[at] if at < n else ""
-            if depth:
-                out.append(" ")
-            elif nxt and nxt not in "\n#":
-                lead = m[0][1:]
-                width = len(lead) if "\t" not in lead else len(lead.expandtabs(8))
-                if not blank:
-                    out.append("\n")
-                if width > stack[-1]:
-                    stack.append(width)
-                    out.append("\x01")
-                else:
-                    while width < stack[-1]:
-                        stack.pop()
-                        out.append("\x02")
-                    if width != stack[-1]:
-                        out.append("\0")
-                blank = False
-        elif c == "#" or c == "\\":
-            out.append(" ")
-        else:
-            if c in "([{":
-                depth += 1
-            elif c in ")]}":
-                depth = max(0, depth - 1)
-            out.append(m[0])
-    out.append(text[at:])
-    whole = "".join(out) + "\n" + "\x02" * (len(stack) - 1)
-    return whole if whole.strip() else ""
+    if "\x01" in text.text or "\x02" in text.text or "\0" in text.text:
+        return text.pieces([("\0", 0)])
+    text.sub(LINE_END, lambda m: "" if m[0] == "\ufeff" else "\n")
+    whole = text.text.rstrip()
+    shift = 1  # the line end put before the text
+    src = "\n" + whole + "\n"
+
+    def pieces() -> Iterator[tuple[str, int]]:
+        stack, depth, at, blank = [0], 0, 0, True
+        n = len(src)
+        for m in PY_PIECE.finditer(src):
+            s = m.start()
+            if s > at:
+                yield src[at:s], at - shift
+            at = m.end()
+            c = src[s]
+            if c == "\n":
+                nxt = src[at] if at < n else ""
+                if depth:
+                    yield " ", s - shift
+                elif nxt and nxt not in "\n#":
+                    lead = m[0][1:].rpartition("\f")[2]
+                    width = len(lead) if "\t" not in lead else len(lead.expandtabs(8))
+                    if not blank:
+                        yield "\n", s - shift
+                    if width > stack[-1]:
+                        stack.append(width)
+                        yield "\x01", at - shift
+                    else:
+                        while width < stack[-1]:
+                            stack.pop()
+                            yield "\x02", at - shift
+                        if width != stack[-1]:
+                            yield "\0", at - shift
+                    blank = False
+            elif m["f"]:  # a line end inside a field doesn't end the statement
+                yield m[0].replace("\n", " "), s - shift
+            elif c in "#\\":
+                yield " ", s - shift
+            else:
+                if c in "([{":
+                    depth += 1
+                elif c in ")]}":
+                    depth = max(0, depth - 1)
+                yield m[0], s - shift
+        yield src[at:], at - shift
+        yield "\n" + "\x02" * (len(stack) - 1), len(whole)
+
+    text.pieces(pieces())
+    if not text.text.strip():
+        text.text = ""
+    return text
+
+
+LINE_END = regex.compile(r"\A\ufeff|\r\n?")
+PYTHON.prepare = _python_text
 
 
-PYTHON.prepare = _python_text
+BYTE_MARK = regex.compile(r"\A\ufeff")
 
 
-def _script_text(text: str) -> str:
-    return text.lstrip("﻿").replace("\r\n", "\n")
+def _script_text(text: Moved) -> Moved:
+    return text.sub(BYTE_MARK, lambda m: "")
 
 
 for _g in (JS, TS, JAVA):

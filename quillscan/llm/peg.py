@@ -8,17 +8,22 @@ name a token for a run of plain statements, which is then taken in one match.
 Notation: ``Rule <- e``; ``'text'`` a token, ``/pattern/`` a token by pattern, ``~/pattern/``
 without space after it; ``e / e`` ordered choice, ``e*``, ``e+``, ``e?``, ``&e``, ``!e``. A token
 takes the grammar's space after it. A rule in capitals is a token or stands for one.
+
+A grammar may rewrite a text before it parses it (comments out, indents marked). What was
+moved is kept, so that a failure is told in the original text.
 """
 
 from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterable
 from functools import cached_property
 
 import regex
 
+LOOKBEHIND = regex.compile(r"\(\?<[=!](?:[^()\\\[]|\\.|\[(?:[^\]\\]|\\.)*\])*\)")
 LEX = regex.compile(r"\s*(?:(?P<name>[A-Za-z]\w*)|'(?P<lit>(?:[^'\\]|\\.)+)'|(?P<bare>~?)/(?!\s)(?P<pat>(?:[^/\\]|\\.)+)/(?=[\s*+?)]|$)|(?P<op>[()*+?&!/]))")
 
 
@@ -74,10 +79,56 @@ def _read(text: str) -> tuple:
     return choice()
 
 
+class Moved:
+    """A rewritten text that knows where its characters come from."""
+
+    def __init__(self, text: str):
+        self.text, self.length = text, len(text)
+        self.stages: list[tuple[list[int], list[int]]] = []
+
+    def pieces(self, pieces: Iterable[tuple[str, int]]) -> Moved:
+        """Replace the text by pieces, each with the offset in the text where it begins."""
+        out, new, old = [], [0], [0]
+        at, shift = 0, 0
+        for piece, origin in pieces:
+            if origin - at != shift:
+                shift = origin - at
+                new.append(at)
+                old.append(origin)
+            out.append(piece)
+            at += len(piece)
+        self.stages.append((new, old))
+        self.text = "".join(out)
+        return self
+
+    def sub(self, rx: regex.Pattern, by: Callable[[regex.Match], str]) -> Moved:
+        """Replace what matches; nothing is done if nothing does."""
+        if not rx.search(self.text):
+            return self
+
+        def pieces() -> Iterable[tuple[str, int]]:
+            at = 0
+            for m in rx.finditer(self.text):
+                if m.start() > at:
+                    yield self.text[at : m.start()], at
+                yield by(m), m.start()
+                at = m.end()
+            yield self.text[at:], at
+
+        return self.pieces(pieces())
+
+    def origin(self, at: int) -> int:
+        """Where the character at an offset of the rewritten text stands in the original."""
+        for new, old in reversed(self.stages):
+            k = bisect_right(new, at) - 1
+            at = old[k] + at - new[k] if k + 1 == len(new) else min(old[k] + at - new[k], max(old[k], old[k + 1] - 1))
+        return max(0, min(at, self.length))
+
+
 class Grammar:
     """``space`` follows a token; ``tight`` follows one after which a line may end a statement."""
 
-    def __init__(self, rules: str, space: str, tight: str | None = None, ends: str = r"(?!)", prepare: Callable[[str], str] | None = None):
+    def __init__(self, rules: str, space: str, tight: str | None = None, ends: str = r"(?!)", prepare: Callable[[Moved], Moved] | None = None):
         self.space, self.tight, self.ends, self.prepare = space, tight or space, regex.compile(ends), prepare
         joined: list[str] = []
         for line in rules.strip().splitlines():
@@ -89,6 +140,10 @@ class Grammar:
         self.first = pairs[0][0].strip()
         self.rules = {n.strip(): _read(e) for n, e in pairs}
 
+    def __getstate__(self) -> dict:
+        # what is compiled belongs to one process
+        return {k: v for k, v in self.__dict__.items() if k not in ("packrat", "starts", "slow")}
+
     def _pattern(self, e: tuple) -> str | None:
         """The pattern of a token, None for what isn't one."""
         kind, v = e
@@ -110,8 +165,9 @@ class Grammar:
 
         def by_token(p: str) -> frozenset[str] | None:
             if p not in known:
-                rx = regex.compile(p, regex.S)
-                known[p] = None if (m := rx.match("")) is not None and not m.partial else frozenset(c for c in map(chr, range(128)) if rx.match(c, partial=True))
+                # what stands before a token is not known here
+                rx = regex.compile(LOOKBEHIND.sub("", p), regex.S)
+                known[p] = None if "(?<" in rx.pattern or (m := rx.match("")) is not None and not m.partial else frozenset(c for c in map(chr, range(128)) if rx.match(c, partial=True))
             return known[p]
 
         def first(e: tuple) -> frozenset[str] | None:
@@ -231,7 +287,6 @@ class Grammar:
         def parse(whole: str) -> tuple[bool, int]:
             nonlocal text, far, length
             text, far, length = whole, 0, len(whole)
-            sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
             try:
                 end = compiled[self.first](max(0, lead(0)))
             finally:
@@ -242,11 +297,28 @@ class Grammar:
 
         return parse
 
+    @cached_property
+    def slow(self) -> Grammar:
+        """The same grammar without its runs in one match."""
+        out = Grammar.__new__(Grammar)
+        out.space, out.tight, out.ends, out.prepare, out.first = self.space, self.tight, self.ends, self.prepare, self.first
+        out.rules = {n: ("bare", "(?!)") if n in ("FAST", "NUMBERS") else e for n, e in self.rules.items()}
+        return out
+
     def check(self, text: str) -> tuple[bool, int]:
-        """(accepted, furthest failure position in the prepared text)."""
-        if self.prepare:
-            text = self.prepare(text)
+        """(accepted, furthest failure position in the text).
+
+        Depth costs memory alone: the parser's calls live on the heap, and their number
+        may grow with the text.
+        """
+        moved = self.prepare(Moved(text)) if self.prepare else Moved(text)
+        before = sys.getrecursionlimit()
         try:
-            return self.packrat(text)
+            sys.setrecursionlimit(max(before, 20_000))
+            ok, far = self.packrat(moved.text)
         except RecursionError:
-            return False, 0
+            sys.setrecursionlimit(max(before, 20_000 + 100 * len(moved.text)))
+            ok, far = self.packrat(moved.text)
+        finally:
+            sys.setrecursionlimit(before)
+        return ok, moved.origin(far)

@@ -1,5 +1,7 @@
 import ast
 import json
+import random
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -67,3 +69,90 @@ def test_tables(spark):
     rates = {(r.repo, r.ext): (r.files, r.failed, r.counted_by_scans) for r in parsing.failure_rates(files, scans).collect()}
     assert rates["r", "py"] == (2, 1, 2)
     assert parsing.unparsable(files.limit(0)).count() == 0
+
+
+VALID = [
+    ("py", "def g():\n    yield\n    yield x\n    yield from y\n    z = yield 1\n"), ("py", "f(*a, b, *c, d=1, *e, **k)\nfor a.b[0], (c, *d) in e: pass\n"), ("py", "x = f'a{b!r:>{w}} {c[\"k\"]} {{}} {d=}' rb'q' f\"{f'{1}'}\"\n"), ("py", "def f(*a: int, **k: str) -> None: ...\n"),
+    ("rb", "f(<<~A, b: 1)\n  (((\nA\ng :x, 'y' => 2\n"), ("rb", "a.b(c).d(e: f, &g).\n  h\n  .i { |(x, y), z| x / y }\nputs \"a#{b.map { |q| \"<#{q}>\" }.join}\"\n"), ("rb", "ENV.fetch('A')\nx.y = *z\n(a, b), c = d\nThen /it (.*)/ do |s|\nend\n"), ("rb", "begin\n  a\nrescue *B, C => e\n  raise\nend\n"),
+    ("js", "const a = `x${`y${z}`}`;\nfor (k in o) continue\na = b\n"), ("js", "export * as n from 'm' with { type: 'json' };\nfunction F() { return new.target }\n"), ("js", "f((a = ')', { b, ...c }) => a);"),
+    ("ts", "function f(this: Window, a?: number): asserts a is number { return x ? (a) : b => c }\nlet x!: import('y').Z<string>;\nexport type { A } from 'b';\nexport = f;"), ("ts", "type A<in out T> = T extends `a${infer R extends string}` ? R : never;\ndeclare global { const v: unique symbol }"),
+    ("java", "open module a.b { requires transitive c.d; exports e to f, g; }"), ("java", "class A { Object o = f(Thread.State[].class); }"),
+]
+INVALID = [("js", "const a = `${ `;"), ("js", "`${}`"), ("js", "typeof x = 1"), ("py", "f(a=1, b)\n"), ("py", "f() = 1\n"), ("py", "1 += x\n"), ("py", "x = f'{'\n"), ("py", "for f() in y: pass\n"), ("rb", 'x = "#{"\n'), ("rb", "f(<<~A)\n  b\n")]
+
+
+@pytest.mark.parametrize(("ext", "text"), VALID)
+def test_accepts_more(ext, text):
+    ok, far = BY_EXTENSION[ext].check(text)
+    assert ok, text[max(0, far - 40) : far] + "<<HERE>>" + text[far : far + 40]
+    assert BY_EXTENSION[ext].check(text.replace("\n", "\r\n"))[0]
+
+
+@pytest.mark.parametrize(("ext", "text"), INVALID)
+def test_refuses_more(ext, text):
+    assert not BY_EXTENSION[ext].check(text)[0]
+
+
+def _own(text):
+    try:
+        ast.parse(text)
+    except (SyntaxError, ValueError):
+        return False
+    return True
+
+
+def test_no_module_of_the_library_is_refused():
+    for p in sorted(Path(ast.__file__).parent.glob("*.py")):
+        text = p.read_text("utf-8")
+        assert BY_EXTENSION["py"].check(text)[0], p
+
+
+def test_damaged_modules_agree_with_the_own_parser():
+    rng = random.Random(7)
+    for p in sorted(Path(ast.__file__).parent.glob("*.py")):
+        lines = p.read_text("utf-8").split("\n")
+        k = rng.randrange(len(lines))
+        text = "\n".join(lines[max(0, k - 40) : k + 40])
+        for _ in range(4):
+            spots = [i for i, c in enumerate(text) if c in "(){}[];,'\"`:=.+\n"]
+            if spots:
+                at, how = rng.choice(spots), rng.randrange(3)
+                bad = text[:at] + ("", text[at] * 2, "")[how] + (text[at + 1 :] if how < 2 else "")
+                assert BY_EXTENSION["py"].check(bad)[0] == _own(bad), bad[max(0, at - 80) : at + 80]
+
+
+PLAIN = {
+    "py": ["a = b\n", "return f(x, 1)\n", 'g("s", h(k + 2))\n', "n += 3\n"], "rb": ["a = b\n", "return f(x, 1)\n", 'g("s", h(k + 2))\n', "n += 3\n"], "go": ["a := b\n", "return f(x, 1)\n", 'g("s", h(k + 2))\n', "n += 3\n"],
+    "js": ["const a = b;\n", "return f(x, 1);\n", 'g("s", h(k + 2));\n', "n += 3;\n"], "ts": ["const a: T = b;\n", "return f(x, 1);\n", 'g("s", h(k + 2));\n', "n += 3;\n"], "java": ["var a = b;\n", "return f(x, 1);\n", 'g("s", h(k + 2));\n', "n += 3;\n"],
+}
+AROUND = {"py": "{}", "rb": "{}", "js": "function q() {{ {} }}", "ts": "function q() {{ {} }}", "go": "package p\nfunc q() {{\n{}}}\n", "java": "class Q {{ void q() {{ {} }} }}"}
+
+
+@pytest.mark.parametrize("ext", PLAIN)
+@settings(max_examples=120, deadline=None)
+@given(data=st.data())
+def test_runs_taken_in_one_match_are_those_of_the_grammar(ext, data):
+    parts = data.draw(st.lists(st.sampled_from(PLAIN[ext]), max_size=5))
+    text = list(AROUND[ext].format("".join(parts)))
+    for _ in range(data.draw(st.integers(0, 3))):
+        at = data.draw(st.integers(0, len(text) - 1)) if text else 0
+        text[at : at + 1] = data.draw(st.sampled_from(["", "(", ")", '"', " ", "=", ",", "+", "if", "1", ".", "\n", "x y"]))
+    whole = "".join(text)
+    assert BY_EXTENSION[ext].check(whole)[0] == BY_EXTENSION[ext].slow.check(whole)[0]
+
+
+def test_failures_are_told_in_the_original_text():
+    for ext, text in [("go", "package a\r\n/* x\ny */ // z\r\nfunc f() {\r\n  x := := 1\r\n}\r\n"), ("rb", "=begin\nx\n=end\na = <<~T\n  q\nT\nb = ) := 1\n"), ("py", "\ufeff# c\r\n\r\nif a:\r\n    # d\r\n    x = := 1\r\n"), ("js", "\ufeff// a\nx = := 1\n")]:
+        ok, far, why = parsing.failure(ext, text)
+        assert not ok and text[far:].lstrip(") ").startswith(":= 1") and why == "syntax", (ext, far, text[far:])
+
+
+def test_causes():
+    long = "class A:\n    def f(self):\n        return 1\n\nx = A()\n"
+    assert parsing.failure("js", long)[2] == "language" and parsing.failure("py", "print 'x'\n")[2] == "syntax" and parsing.failure("py", "<?xml version='1.0'?>\n<a/>")[2] == "language"
+    assert parsing.failure("py", "x = 1\ny = 'abc")[2] == "truncated" and parsing.failure("js", "f(1, `a ${b} c")[2] == "truncated" and parsing.failure("js", "a(];\n" + "b();\n" * 40)[2] == "syntax"
+
+
+def test_depth_is_bounded_by_memory_alone():
+    assert BY_EXTENSION["json"].check("[" * 40_000 + "]" * 40_000)[0] and not BY_EXTENSION["json"].check("[" * 40_000 + "]" * 39_999)[0]
+    assert BY_EXTENSION["js"].check("x = " + "(" * 3000 + "1" + ")" * 3000)[0]
