@@ -88,7 +88,7 @@ IMPORTCALL <- ~/[(.]/
 Clause <- ID (',' Names)? / Names
 Names <- '*' 'as' ID / '{' (Listed (',' Listed)* ','?)? '}'
 Listed <- @LISTED@ (NAME / STRING) ('as' (NAME / STRING))?
-Export <- 'export' (@EXPORTED@'default' (Function / Class / Assign END) / @EXPORT@ Declared / Names ('from' STRING Attributes?)? END / '*' ('as' (NAME / STRING))? 'from' STRING Attributes? END)
+Export <- @DECOR@ 'export' (@EXPORTED@'default' (Function / Class / Assign END) / @EXPORT@ Declared / Names ('from' STRING Attributes?)? END / '*' ('as' (NAME / STRING))? 'from' STRING Attributes? END)
 Function <- 'async'? 'function' '*'? ID? @GENERIC@ Params @RETURNS@ @BODY@
 Params <- '(' (Param (',' Param)* ','?)? ')'
 Param <- @THIS@ @MODS@ '...'? Target @OPT@ @TYPE@ (/=(?![=>])/ Assign)?
@@ -321,7 +321,7 @@ RUBY_KEYWORDS = "if|unless|while|until|for|do|end|def|class|module|begin|rescue|
 _RUBY_WORDS = "if|unless|while|until|for|do|end|def|class|module|begin|rescue|ensure|else|elsif|case|when|in|then|return|and|or|not|nil|true|false|self|yield|super|break|next|redo|retry|alias|undef"
 _RUBY_STRING = r'"(?>[^"\\\n#]++|\\[^\n]|#(?!\{))*+"'
 _RUBY_PLAIN = _plain(rf"(?!(?>{_RUBY_WORDS})(?![\w?!]))[a-zA-Z_]\w*+(?! ?[=(.\[{{?!:])", _RUBY_STRING, rf"(?!(?>{_RUBY_WORDS})(?![\w?!]))[a-z_]\w*+", r"[-+*](?![-+*=])")
-_RUBY_FAST = rf"(?>(?>(?!(?>{_RUBY_WORDS})(?![\w?!]))[a-zA-Z_]\w*+ \+?= {_RUBY_PLAIN}|return {_RUBY_PLAIN}|{_RUBY_PLAIN})[^\S\n]*+\n(?>\s++|#[^\n]*+)*+)++".replace("/", r"\/")
+_RUBY_FAST = rf"(?>(?>(?!(?>{_RUBY_WORDS})(?![\w?!]))[a-zA-Z_]\w*+ \+?= {_RUBY_PLAIN}|return {_RUBY_PLAIN}|{_RUBY_PLAIN})[^\S\n]*+\n(?>\s++|#[^\n]*+)*+(?!\.(?!\.)|&\.))++".replace("/", r"\/")
 RUBY = Grammar(
     r"""
 File <- Stmts EOF
