@@ -26,6 +26,8 @@ def _unfinished(text: str, far: int) -> bool:
     end = len(text.rstrip())
     if far >= end - 1:
         return True
+    if text[far] == "}" and "`" in text[:far]:  # the rest of a template
+        return "`" not in text[far:]
     m = OPENED.match(text, far)
     if not m:
         return False
