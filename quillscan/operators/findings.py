@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillscan.functions.text import round_half_up
@@ -17,9 +17,10 @@ def weight(severity: Column) -> Column:
     return F.when(severity == "critical", 3).when(severity == "high", 2).when(severity == "medium", 1).otherwise(0)
 
 
-def _lookup(k: int) -> Column:
-    pairs = [x for c, v in detectors.KINDS.items() for x in (F.lit(c), F.lit(v[k]))]
-    return F.create_map(*pairs)[F.col("category")]
+def categories(spark: SparkSession) -> DataFrame:
+    """The constant table of categories: analyzer, type, first confidence, tags and place in the order."""
+    rows = [(c, *k, detectors.TAGS[c], detectors.RANK[c], 1 if c == "missing_tests" else 2 if c in ("god_class", "tight_coupling", "circular_dependency") else 0) for c, k in detectors.KINDS.items()]
+    return spark.createDataFrame(rows, "category string, analyzer string, finding_type string, confidence double, tags array<string>, rank int, phase int")
 
 
 def all_findings(files: DataFrame, local: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFrame:
@@ -28,19 +29,18 @@ def all_findings(files: DataFrame, local: DataFrame, edges: DataFrame, cycles: D
     Only the first ``POOL`` of a unit are kept, so its ranking never holds more.
     """
     none = lambda kind: F.lit(None).cast(kind)
-    tests = files.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.bool_or("is_test").alias("tested"), F.min("ordinal").alias("ordinal"), F.min_by("path", "ordinal").alias("path")).where("n > 5 and not tested")
-    row = lambda df, category, severity, message, metric, value: df.select("unit", "ordinal", "path", F.lit(category).alias("category"), F.lit(severity).alias("severity"), none("int").alias("line"), message.alias("message"), none("string").alias("snippet"), F.lit(metric).alias("metric_name"), value.alias("metric_value"), F.lit(0).alias("place"))
-    code = files.where("readable").where(F.col("ext").isin(*detectors.paths.CODE_EXTENSIONS)).select("unit", "path", "ordinal")
+    tests = files.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.bool_or("is_test").alias("tested"), F.min("ordinal").alias("ordinal"), F.min_by("path", "ordinal").alias("path"), F.min_by("first_line", "ordinal").alias("first_line")).where("n > 5 and not tested")
+    row = lambda df, category, severity, message, metric, value: df.select("unit", "ordinal", "path", F.lit(category).alias("category"), F.lit(severity).alias("severity"), none("int").alias("line"), message.alias("message"), F.nullif(F.substring(F.regexp_replace(F.col("first_line"), r"^\s+|\s+$", ""), 1, 300), F.lit("")).alias("snippet"), F.lit(metric).alias("metric_name"), value.alias("metric_value"), F.lit(0).alias("place"))
+    code = files.where("readable").where(F.col("ext").isin(*detectors.paths.CODE_EXTENSIONS)).select("unit", "path", "ordinal", "first_line")
     coupled = graph.coupling(edges).join(code, ["unit", "path"])
     cyclic = cycles.join(code, ["unit", "path"])
     found = local.unionByName(row(tests, "missing_tests", "high", F.lit("no tests"), "test_files", F.lit(0.0)))
     found = found.unionByName(row(coupled, "tight_coupling", "medium", F.concat(F.col("imports").cast("string"), F.lit(" imports")), "imports", F.col("imports").cast("double")))
     found = found.unionByName(row(cyclic, "circular_dependency", "high", F.lit("import cycle"), None, none("double")))
-    phase = F.when(F.col("category") == "missing_tests", 1).when(F.col("category").isin("god_class", "tight_coupling", "circular_dependency"), 2).otherwise(0)
-    ranks = F.create_map(*[x for c, k in detectors.RANK.items() for x in (F.lit(c), F.lit(k))])[F.col("category")]
-    order = Window.partitionBy("unit").orderBy(phase, "ordinal", "path", ranks, "place")
+    found = found.join(F.broadcast(categories(files.sparkSession)), "category")
+    order = Window.partitionBy("unit").orderBy("phase", "ordinal", "path", "rank", "place")
     found = found.withColumn("ev_seq", F.row_number().over(order)).where(F.col("ev_seq") <= POOL)
-    return found.select("unit", "ev_seq", F.concat(F.lit("local-ev-"), F.col("ev_seq").cast("string")).alias("id"), _lookup(0).alias("analyzer"), _lookup(1).alias("finding_type"), "severity", "category", "path", "line", "message", "snippet", "metric_name", "metric_value", _lookup(2).alias("confidence"))
+    return found.select("unit", "ev_seq", F.concat(F.lit("local-ev-"), F.col("ev_seq").cast("string")).alias("id"), "analyzer", "finding_type", "severity", "category", "path", "line", "message", "snippet", "tags", "metric_name", "metric_value", "confidence")
 
 
 def validated(found: DataFrame) -> DataFrame:

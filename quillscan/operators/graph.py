@@ -21,8 +21,8 @@ def resolved_path(path: Column) -> Column:
 def import_edges(targets: DataFrame, files: DataFrame) -> DataFrame:
     """``unit, src, dst`` of every resolved import, repeats kept.
 
-    Candidates of a target carry ranks and meet the files by an equi-join on the path;
-    the lowest rank wins. Bare dotted targets may also end a path; among several such
+    A target meets the files by an equi-join on the path without its ending; the lowest
+    rank of base and ending wins. Bare dotted targets may also end a path; among several such
     files the first counts. Unresolved targets give no row.
     """
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
@@ -38,10 +38,14 @@ def import_edges(targets: DataFrame, files: DataFrame) -> DataFrame:
         .when(F.col("quoted") | t.contains("/"), F.array(t, here(t)))
         .otherwise(F.array(here(t), t, slashed, here(slashed)))
     )
-    endings = F.array(*map(F.lit, ENDINGS))
-    tries = targets.select("unit", "path", "no", F.posexplode(F.flatten(F.transform(bases, lambda b: F.transform(endings, lambda e: F.concat(resolved_path(b), e))))).alias("rank", "try"))
-    known = files.where("readable").select("unit", F.col("path").alias("try"), "ordinal")
-    direct = tries.join(known, ["unit", "try"]).select("unit", "path", "no", "rank", F.col("try").alias("dst"))
+    # a target stands for its path with any of the endings; the files offer their paths without them
+    tries = targets.select("unit", "path", "no", F.posexplode(F.transform(bases, resolved_path)).alias("base", "try"))
+    ranks = F.create_map(*[x for k, e in enumerate(ENDINGS) for x in (F.lit(e), F.lit(k))])
+    p = F.col("path")
+    index, ext = F.regexp_extract(p, r"(/index\.[^./]*)$", 1), F.regexp_extract(p, r"(\.[^./]*)$", 1)
+    offered = [F.struct(p.alias("try"), F.lit(0).alias("ending")), *(F.struct(F.when(e != "", F.left(p, F.length(p) - F.length(e))).alias("try"), F.try_element_at(ranks, e).alias("ending")) for e in (ext, index))]
+    known = files.where("readable").select("unit", p.alias("dst"), F.inline(F.array(*offered))).where("try is not null and ending is not null")
+    direct = tries.join(known, ["unit", "try"]).select("unit", "path", "no", (F.col("base") * len(ENDINGS) + F.col("ending")).alias("rank"), "dst")
     parts = F.split(F.regexp_replace("path", r"\.[^./]+$", ""), "/")
     endings_of = files.where("readable").select("unit", F.col("path").alias("dst"), "ordinal", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))).alias("try"))
     bare = targets.where(~F.col("quoted") & ~t.rlike(r"^(\.\.?/|@/)")).select("unit", "path", "no", F.when(t.contains("."), slashed).otherwise(t).alias("try"))

@@ -14,25 +14,34 @@ _BLANK = re.compile(r"[^\n]")
 _AFTER_WORD = re.compile(r"\b(?:return|typeof|case|instanceof|void|delete|yield|await|throw|in|of)\s*\Z", re.I)
 
 
-def mask(text: str, strings: bool = True, patterns: bool = True) -> str:
-    """``text`` with comments and doc strings blank; also strings if ``strings``, and pattern literals if ``patterns``.
+def views(text: str, patterns: bool = True) -> tuple[str, str]:
+    """``text`` with comments and doc strings blank, and the same with strings and pattern literals blank too.
 
     Line ends and the length stay. A ``/`` after a name, number or closing bracket
-    divides, except after a keyword.
+    divides, except after a keyword; without ``patterns`` it always does.
     """
-    out: list[str] = []
+    kept: list[str] = []
+    code: list[str] = []
     at = 0
     rx = _WITH if patterns else _WITHOUT
     while m := rx.search(text, at):
-        kind = m.lastgroup
+        kind, start = m.lastgroup, m.start()
         if kind == "pattern":
-            before = text[max(0, m.start() - 40) : m.start()].rstrip()
+            before = text[max(0, start - 40) : start].rstrip()
             if before and (before[-1].isalnum() or before[-1] in "_)]$") and not _AFTER_WORD.search(before):
-                out.append(text[at : m.start() + 1])
-                at = m.start() + 1
+                kept.append(text[at : start + 1])
+                code.append(kept[-1])
+                at = start + 1
                 continue
-        out.append(text[at : m.start()])
-        out.append(m[0] if kind == "string" and not strings else _BLANK.sub(" ", m[0]))
+        blank = _BLANK.sub(" ", m[0]) if "\n" in m[0] else " " * len(m[0])
+        kept += (text[at:start], m[0] if kind == "string" else blank)
+        code += (kept[-2], blank)
         at = m.end()
-    out.append(text[at:])
-    return "".join(out)
+    kept.append(text[at:])
+    code.append(text[at:])
+    return "".join(kept), "".join(code)
+
+
+def mask(text: str, strings: bool = True, patterns: bool = True) -> str:
+    """One of the two views: with strings blank, or kept."""
+    return views(text, patterns)[strings]

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillscan.functions.text import round_half_up
-from quillscan.operators import structure
+from quillscan.operators import detectors, structure
 from quillscan.operators.masking import mask
 
 #: Extensions, scope style, and patterns of classes and functions per language.
@@ -39,26 +40,12 @@ def measure(ext: str, text: str) -> tuple:
     total = len(re.split(r"\r\n|\r|\n", text))
     loc = sum(bool(x.strip()) for x in code.splitlines())
     family = {"indent": "python", "end": "ruby", "brace": "brace"}[style]
-    spans = []
-    for m in functions.finditer(code):
-        start = m.start() + len(m[0]) - len(m[0].lstrip())
-        if style == "brace":
-            opened = code.find("{", m.start())
-            end = structure.closing(code, opened) if opened >= 0 else None
-            n = code.count("\n", start, end) + 1 if end is not None else 0
-        else:
-            end, body = structure.block_end(code, start, family)
-            n = body + 1
-        if n:
-            spans.append((start, n))
-    held = []
-    for m in classes.finditer(code):
-        if style == "brace":
-            opened = code.find("{", m.start())
-            end = structure.closing(code, opened) if opened >= 0 else None
-        else:
-            end = structure.block_end(code, m.start() + len(m[0]) - len(m[0].lstrip()), family)[0]
-        held.append(sum(m.start() < s < (end or m.start()) for s, _ in spans))
+    outline = structure.Outline(code, family)
+    at = lambda m: m.start() + len(m[0]) - len(m[0].lstrip())
+    spans = [(s.start, s.lines + 1) for m in functions.finditer(code) if (s := outline.body(at(m), m.end())) and s.closed]
+    starts = sorted(s for s, _ in spans)
+    bodies = [(at(m), outline.body(at(m), m.end())) for m in classes.finditer(code)]
+    held = [bisect_left(starts, s.end) - bisect_right(starts, start) if s else 0 for start, s in bodies]
     lengths = [n for _, n in spans]
     return name, total, loc, len(held), len(spans), sum(lengths) / len(lengths) if lengths else 0.0, max(lengths, default=0), sum(n > 50 for n in lengths), loc > 500, max(held, default=0)
 
@@ -66,15 +53,20 @@ def measure(ext: str, text: str) -> tuple:
 COLUMNS = "language string, total_lines int, loc int, classes int, functions int, mean_function double, longest_function int, long_functions int, large_file boolean, methods int"
 
 
-def file_metrics(kept: DataFrame) -> DataFrame:
-    """Metrics of each readable file of a known language."""
+def file_metrics(files: DataFrame, unit: str = "scan_id") -> DataFrame:
+    """Metrics of each readable file of a known language; of repeated paths in a unit the first counts."""
+    kinds = dict(c.split() for c in COLUMNS.split(", "))
+    key = ["row_no", "unit", "ordinal", "path", "digest", "ignored"]
+    keys = {c: detectors.FILE[c] for c in key}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(u, p, *measure(e, t)) for u, p, e, t in f.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=["unit", "path", *(c.split()[0] for c in COLUMNS.split(", "))])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [measure(e, t) if t and e in BY_EXTENSION else (None,) * len(kinds) for e, t in zip(b["ext"].to_pylist(), b["text"].to_pylist())]
+            arrays = [b[c].cast(detectors.ARROW[t]) for c, t in keys.items()] + [pa.array([x[k] for x in got], detectors.ARROW[t]) for k, t in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *kinds])
 
-    return kept.where(F.col("readable") & F.col("ext").isin(*BY_EXTENSION)).select("unit", "path", "ext", "text").mapInPandas(run, f"unit bigint, path string, {COLUMNS}")
+    rows = detectors.candidates(files, unit).select(*key, "ext", "text").mapInArrow(run, detectors.schema(keys, kinds))
+    return detectors.first_of_paths(rows).where("language is not null").select("unit", "path", *kinds)
 
 
 def unit_metrics(metrics: DataFrame) -> DataFrame:

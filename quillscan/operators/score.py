@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from quillscan.functions import paths
 from quillscan.functions.text import grade, round_half_up
 
+# Folders of layers, patterns of paths, weights of the dimensions.
 LAYERS = "controllers services models domain repository views api core src".split()
-ASSERTION = r"\b(expect\s*\(|assert\s*\(|\.assert\w+\s*\(|it\s*\(|test\s*\(|describe\s*\(|assert\s+\w+|expect\s*[.(]|t\.(?:Error|Fatal|Errorf)\s*\()"
 NOT_README = r"(?i)(^|/)(\.pytest_cache|\.mypy_cache|\.ruff_cache|node_modules|dist|build|coverage|htmlcov|fixtures?|tests?|test-data|__pycache__)/"
-FRAMEWORK = r"jest|vitest|pytest|mocha|rspec|jasmine|cypress|playwright|junit|go test"
 CI = r"(?i)\.github/workflows|\.gitlab-ci\.yml|jenkinsfile|azure-pipelines|circle\.yml|\.travis\.yml"
 LINT = r"(?i)eslint|ruff|golangci|\.prettierrc|biome|flake8|\.pylintrc|tsconfig\.json"
 LOCK = r"(?i)package-lock\.json|pnpm-lock\.yaml|yarn\.lock|poetry\.lock|cargo\.lock|go\.sum|gemfile\.lock|pipfile\.lock"
@@ -24,7 +23,7 @@ def _clamp(x: Column, low: int, high: int = 95) -> Column:
 
 def file_facts(files: DataFrame) -> DataFrame:
     """One row per unit of all counts that the score takes from the files."""
-    p, text = F.col("path"), F.coalesce(F.when(F.col("readable"), F.col("text")), F.lit(""))
+    p = F.col("path")
     any_ = lambda rx: F.bool_or(p.rlike(rx))
     count = lambda cond: F.count_if(cond)
     segments = F.split(p, "/")
@@ -35,9 +34,9 @@ def file_facts(files: DataFrame) -> DataFrame:
         sum((F.max(F.array_contains(segments, x).cast("int")) for x in LAYERS), F.lit(0)).alias("layers"),
         (any_(r"(^|/)(packages|apps|services|modules)/").cast("int") + (any_(r"(^|/)services/[^/]+/[^/]+") & (count(p.rlike(r"(^|/)services/")) >= 2)).cast("int") + any_(r"(^|/)(ports|adapters|application|infrastructure)/").cast("int")
          + any_(r"(^|/)(event|events|consumers?|producers?|queues?|streams?)/").cast("int") + any_(r"(^|/)(controllers?|routes?|views?|templates?)/").cast("int")).alias("signals"),
-        F.max(F.size(segments)).alias("depth"), count(manifest).alias("manifests"), F.bool_or(manifest & F.lower(text).rlike(FRAMEWORK)).alias("framework"),
-        F.sum(F.when(F.col("is_test"), F.regexp_count(text, F.lit(ASSERTION)))).alias("assertions"),
-        F.max(F.when(readme, F.struct(F.length(text), -F.col("ordinal"), F.size(F.split(text, r"\r\n|\r|\n", -1)).alias("lines"), F.regexp_count(text, F.lit(r"(?m)^#{1,3}\s+")).alias("headings"), (F.regexp_count(text, F.lit("```")) / 2).alias("fences")))).alias("readme"),
+        F.max(F.size(segments)).alias("depth"), count(manifest).alias("manifests"), F.coalesce(F.bool_or("framework"), F.lit(False)).alias("framework"),
+        F.sum("assertions").alias("assertions"),
+        F.max(F.when(readme, F.struct(F.coalesce("length", F.lit(0)).alias("length"), (-F.col("ordinal")).alias("back"), F.coalesce("n_lines", F.lit(1)).alias("lines"), F.coalesce("headings", F.lit(0)).alias("headings"), F.coalesce("fences", F.lit(0.0)).alias("fences")))).alias("readme"),
         any_(r"(?i)(^|/)(docs|doc|documentation)/").alias("docs"), any_(CI).alias("ci"), any_(LINT).alias("lint"), any_(LOCK).alias("lock"),
     )
 

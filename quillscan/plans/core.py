@@ -88,7 +88,7 @@ def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.file_metrics(detectors.kept_files(load(spark, sf_dir, "scan_files")))
+    return metrics.file_metrics(load(spark, sf_dir, "scan_files"))
 
 
 def unit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""The whole analysis: files -> findings -> validated -> capped -> scores and reports."""
+"""The whole analysis: files -> findings -> validated -> capped -> scores and reports.
+
+The texts are read once. Checkpoints hold what that reading found, the resolved imports
+and the validated findings; all are narrow.
+"""
 
 from __future__ import annotations
 
@@ -25,9 +29,8 @@ class Analysis:
 
 def analyse(files: DataFrame, unit: str = "scan_id") -> Analysis:
     """All repositories of a table in one job; a unit is one scan of one repository."""
-    kept = detectors.kept_files(files, unit)
-    known = durable(kept.where("readable").select("unit", "path", "ordinal", "readable"))
-    edges = durable(graph.import_edges(detectors.import_targets(kept), known))
+    kept, local, imported = detectors.parts(durable(detectors.one_pass(files, unit)))
+    edges = durable(graph.import_edges(imported, kept))
     cycles = graph.components(edges)
-    raw = durable(findings.validated(findings.all_findings(kept, detectors.local_findings(kept), edges, cycles)))
+    raw = durable(findings.validated(findings.all_findings(kept, local, edges, cycles)))
     return Analysis(kept, edges, cycles, raw, findings.capped(raw))

@@ -27,3 +27,16 @@ def durable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="quillscan-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+SMALL_PART = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of texts over all cores, where the input is too small to come in enough parts of its own.
+
+    An input of more than ``SMALL_PART`` bytes a core stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_PART else df

@@ -15,10 +15,7 @@ def read_stream(spark: SparkSession, folder: str, like: DataFrame, files_per_tri
 
 def stream_findings(files: DataFrame) -> DataFrame:
     """Findings of arriving files. The detectors look at one file at a time, so the stream keeps no state."""
-    f = files.select(F.col("scan_id").alias("unit"), "ordinal", detectors.paths.normal_path(F.col("path")).alias("path"), F.col("content").alias("text")).where("length(text) > 0 and path <> ''")
-    ext = detectors.paths.extension_of(F.col("path"))
-    f = f.withColumn("ext", ext).withColumn("readable", ext.isin(*detectors.paths.TEXT_EXTENSIONS) & (F.octet_length("text") <= detectors.paths.MAX_TEXT_BYTES)).where(~detectors.paths.skipped(F.col("path")))
-    return detectors.local_findings(f)
+    return detectors.one_pass(files, numbered=False).where("kind = 'finding'").select("unit", "path", *(c for c in detectors.FINDING if c != "sure"))
 
 
 def _marked(df: DataFrame, at: str, late: str) -> DataFrame:

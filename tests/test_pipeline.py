@@ -12,7 +12,7 @@ def files(spark, *units):
 
 
 def found(text, ext=".ts", test=False):
-    return [(x[0], x[1]) for x in detectors.detect(ext, test, text)]
+    return [(x[0], x[1]) for x in detectors.detect(ext, test, detectors.source(ext, text))]
 
 
 @pytest.mark.parametrize(
@@ -99,6 +99,6 @@ def test_components_match_brute_force(spark):
 
 def test_import_resolution(spark):
     fs = [("app/a.ts", 'import x from "../lib/b";\nimport y from "@/util";\nimport z from "react";'), ("lib/b/index.ts", "x"), ("src/util.ts", "x"), ("pkg/m.py", "from pkg.sub import q\nimport os\n"), ("root/pkg/sub.py", "x"), ("r.rb", "require_relative 'h'\n"), ("h.rb", "x")]
-    kept = detectors.kept_files(files(spark, fs))
-    got = {(r.src, r.dst) for r in graph.import_edges(detectors.import_targets(kept), kept).collect()}
+    kept, _, imported = detectors.parts(detectors.one_pass(files(spark, fs)).cache())
+    got = {(r.src, r.dst) for r in graph.import_edges(imported, kept).collect()}
     assert got == {("app/a.ts", "lib/b/index.ts"), ("app/a.ts", "src/util.ts"), ("pkg/m.py", "root/pkg/sub.py"), ("r.rb", "h.rb")}
