@@ -10,11 +10,10 @@ how the corpus itself goes on after the same last words.
 
 from __future__ import annotations
 
-import html
-import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -31,25 +30,49 @@ ITEM = re.compile(r"^\s*(?:[-*•+]|\d+[.)])(?:\s+|$)")
 LABEL = re.compile(r"(?:\(see\s+[^\s()]+\.(?:{x})\)|^\s*[A-Z][\w ]*:\s+[^\s]+\.(?:{x}))$".replace("{x}", "py|js|ts|tsx|jsx|java|go|rb|rs|c|h|cc|cpp|cs|php|kt|swift|scala|sh|sql|css|html|xml|yml|yaml|toml|ini|md|txt|json|csv|lock"))
 TOKEN = re.compile(r"[\w./-]*\w|[.!?…]+|[,;:]")
 NAME = re.compile(r"[_/\\]|\w\.\w|[^\W\d_A-Z][A-Z]")
+CONTROL = re.compile(r"[\x00-\x07\x0b\x0e-\x1f]")
+NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
 BROKEN = re.compile(r"(?:�|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|%[0-9A-Fa-f]?|&#?\w{0,6})$")
 
 
+@lru_cache(maxsize=65536)
 def _word(t: str) -> str:
     return "§" if NAME.search(t) else "0" if t.isdigit() else t.lower()
 
 
+#: The encodings in which a length may be limited; ``kept`` ones leave out an appended cut mark.
+ENCODINGS = [f"{kept}{x}" for kept in ("", "kept:") for x in "chars bytes utf16 lf lf_bytes crlf crlf_bytes entity entity_bytes json json_bytes json_ascii".split()]
+
+
+def _sizes(s: str) -> list[int]:
+    """The length of a text in each encoding, counted without encoding it."""
+    n, wide = len(s), 0
+    size = n if s.isascii() else len(s.encode("utf-8", "surrogatepass"))
+    if size > n:
+        wide = len(s.encode("utf-16-le", "surrogatepass")) // 2 - n
+    dos = s.count("\r\n")
+    breaks = s.count("\n")
+    entity = 4 * s.count("&") + 3 * (s.count("<") + s.count(">")) + 5 * (s.count('"') + s.count("'"))
+    short = sum(map(s.count, '"\\\n\r\t\b\f'))
+    quoted = short + 5 * (len(CONTROL.findall(s)) if CONTROL.search(s) else 0)
+    # every unit of UTF-16 that isn't ASCII takes six characters
+    ascii_json = quoted if size == n else quoted + 6 * (n - len(NOT_ASCII.sub("", s)) + wide) - (n - len(NOT_ASCII.sub("", s)))
+    return [n, size, n + wide, n - dos, size - dos, n - dos + breaks, size - dos + breaks, n + entity, size + entity, n + quoted, size + quoted, n + ascii_json]
+
+
 def lengths(body: str) -> dict[str, int]:
-    """The body's length in each encoding; ``kept:`` ones leave out an appended cut mark."""
-    out = {}
-    for name, s in (("", body), ("kept:", ELLIPSIS.sub("", MARK.sub("", body)))):
-        unix = s.replace("\r\n", "\n")
-        dos = unix.replace("\n", "\r\n")
-        escaped, quoted = html.escape(s), json.dumps(s, ensure_ascii=False)
-        wide = lambda x: len(x.encode("utf-16-le", "surrogatepass")) // 2
-        size = lambda x: len(x.encode("utf-8", "surrogatepass"))
-        out |= {f"{name}chars": len(s), f"{name}bytes": size(s), f"{name}utf16": wide(s), f"{name}lf": len(unix), f"{name}lf_bytes": size(unix), f"{name}crlf": len(dos), f"{name}crlf_bytes": size(dos)}
-        out |= {f"{name}entity": len(escaped), f"{name}entity_bytes": size(escaped), f"{name}json": len(quoted) - 2, f"{name}json_bytes": size(quoted) - 2, f"{name}json_ascii": len(json.dumps(s)) - 2}
-    return out
+    """The body's length in each encoding."""
+    whole = _sizes(body)
+    kept = ELLIPSIS.sub("", MARK.sub("", body))
+    return dict(zip(ENCODINGS, whole + (whole if kept == body else _sizes(kept))))
+
+
+def shapes(body: str) -> list[tuple[int, int]]:
+    """(encodings as bits, length): the different lengths of a body, each with the encodings that give it."""
+    out: dict[int, int] = {}
+    for k, n in enumerate(lengths(body).values()):
+        out[n] = out.get(n, 0) | 1 << k
+    return [(mask, n) for n, mask in out.items()]
 
 
 def followed(body: str) -> Iterator[tuple[str, str]]:
@@ -127,11 +150,11 @@ def sections_pass(df: DataFrame, id_col: str, text_col: str, source: Column, par
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(i, s, g, *ending(t), xxhash.xxh64_intdigest(t.strip()) >> 1, lengths(t)) for i, s, g, t in f.itertuples(index=False) if t and t.strip()]
+            rows = [(i, s, g, *ending(t), xxhash.xxh64_intdigest(t.strip()) >> 1, shapes(t)) for i, s, g, t in f.itertuples(index=False) if t and t.strip()]
             yield pd.DataFrame(rows, columns=["id", "source", "groups", "state", "last", "body", "lengths"])
 
     picked = df.select(F.col(id_col).cast("bigint").alias("id"), source.alias("source"), groups_of(source, parts or []).alias("groups"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(run, "id bigint, source string, groups array<string>, state string, last string, body bigint, lengths map<string,int>")
+    return picked.mapInPandas(run, "id bigint, source string, groups array<string>, state string, last string, body bigint, lengths array<struct<mask:int,length:int>>")
 
 
 def continuations(df: DataFrame, text_col: str) -> DataFrame:
@@ -149,6 +172,16 @@ def continuations(df: DataFrame, text_col: str) -> DataFrame:
     return counted.groupBy("last").agg(F.sum("ends").alias("ends"), F.sum("dots").alias("dots"), F.sum("more").alias("more"))
 
 
+def _names() -> Column:
+    return F.array(*map(F.lit, ENCODINGS))
+
+
+def _each_encoding(counts: DataFrame, keys: list[str], *sums: Column) -> DataFrame:
+    """Counts by encodings as bits become counts by encoding; summed before the bits are taken apart."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(len(ENCODINGS) - 1)), lambda k: F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0)
+    return counts.withColumn("encoding", F.explode(F.transform(bits, lambda k: F.get(_names(), k)))).groupBy(*keys, "encoding", "length").agg(*sums)
+
+
 def storage_limits(passed: DataFrame, least: int = 8, times: float = 8.0) -> DataFrame:
     """Per source and encoding the length at which texts heap up at the top.
 
@@ -156,7 +189,8 @@ def storage_limits(passed: DataFrame, least: int = 8, times: float = 8.0) -> Dat
     part of a character), ``times`` as many as the eight lengths below on average, and
     no longer text exists in that encoding.
     """
-    counts = passed.select("source", F.explode("lengths").alias("encoding", "length")).groupBy("source", "encoding", "length").agg(F.count(F.lit(1)).alias("n"))
+    shaped = passed.select("source", F.inline("lengths")).groupBy("source", "mask", "length").agg(F.count(F.lit(1)).alias("n"))
+    counts = _each_encoding(shaped, ["source"], F.sum("n").alias("n"))
     top = counts.groupBy("source", "encoding").agg(F.max("length").alias("limit"))
     near = counts.alias("c").join(top.alias("t"), (F.col("c.encoding") == F.col("t.encoding")) & F.col("c.source").eqNullSafe(F.col("t.source"))).where("c.length > t.limit - 12").select("c.source", "c.encoding", "t.limit", "c.length", "c.n")
     heap = near.groupBy("source", "encoding", "limit").agg(F.sum(F.when(F.col("length") > F.col("limit") - 4, F.col("n")).otherwise(0)).alias("at_limit"), F.sum(F.when(F.col("length") <= F.col("limit") - 4, F.col("n")).otherwise(0)).alias("below"))
@@ -174,9 +208,10 @@ def heaps(passed: DataFrame, least: int = 8, times: float = 8.0) -> DataFrame:
     """
     once = passed.withColumn("n", F.row_number().over(Window.partitionBy("source", "body").orderBy("id"))).where("n = 1")
     broken = F.col("state").isin("open", "cut", "dots").cast("int")
-    finest = once.select("source", "groups", broken.alias("broken"), F.explode("lengths").alias("encoding", "length")).groupBy("source", "groups", "encoding", "length").agg(F.count(F.lit(1)).alias("n"), F.sum("broken").alias("broken"))
-    counts = finest.select("source", F.posexplode("groups").alias("level", "group"), "encoding", "length", "n", "broken")
-    counts = counts.groupBy("source", "group", "encoding", "length").agg(F.min("level").alias("level"), F.sum("n").alias("n"), F.sum("broken").alias("broken"))
+    shaped = once.select("source", "groups", broken.alias("broken"), F.inline("lengths")).groupBy("source", "groups", "mask", "length").agg(F.count(F.lit(1)).alias("n"), F.sum("broken").alias("broken"))
+    shaped = shaped.select("source", F.posexplode("groups").alias("level", "group"), "mask", "length", "n", "broken")
+    sums = [F.min("level").alias("level"), F.sum("n").alias("n"), F.sum("broken").alias("broken")]
+    counts = _each_encoding(shaped.groupBy("source", "group", "mask", "length").agg(*sums), ["source", "group"], *sums)
     along = Window.partitionBy("source", "group", "encoding").orderBy("length")
     near = lambda c, a, b: F.coalesce(F.sum(c).over(along.rangeBetween(a, b)), F.lit(0))
     seen = counts.withColumns({"at_limit": near("n", -3, 0), "open": near("broken", -3, 0), "below": near("n", -11, -4), "above": near("n", 1, 8)})
@@ -187,9 +222,12 @@ def heaps(passed: DataFrame, least: int = 8, times: float = 8.0) -> DataFrame:
 
 def _marked(passed: DataFrame, limits: DataFrame) -> DataFrame:
     """The texts with ``at_limit``: does the length stand at a limit of the source or of one of the text's groups?"""
-    per_source = limits.groupBy("source").agg(F.collect_set(F.struct("group", "encoding", "limit")).alias("limits"))
+    bit = (F.array_position(_names(), F.col("encoding")) - 1).cast("int")
+    per_source = limits.withColumn("encoding", bit).groupBy("source").agg(F.collect_set(F.struct("group", "encoding", "limit")).alias("limits"))
     same = passed.drop("at_limit").alias("p").join(per_source.alias("l"), F.col("p.source").eqNullSafe(F.col("l.source")), "left").select("p.*", "l.limits")
-    within = lambda x: (F.col("lengths")[x["encoding"]] <= x["limit"]) & (F.col("lengths")[x["encoding"]] > x["limit"] - F.when(x["encoding"].contains("bytes"), 4).otherwise(1))
+    sizes = F.array(*(F.lit(4 if "bytes" in e else 1) for e in ENCODINGS))
+    at = lambda x, s: (s["mask"].bitwiseAND(F.call_function("shiftleft", F.lit(1), x["encoding"])) != 0) & (s["length"] <= x["limit"]) & (s["length"] > x["limit"] - F.get(sizes, x["encoding"]))
+    within = lambda x: F.exists("lengths", lambda s: at(x, s))
     hit = F.exists("limits", lambda x: within(x) & (x["group"].isNull() | F.array_contains("groups", x["group"])))
     return same.withColumn("at_limit", F.coalesce(hit, F.lit(False))).drop("limits")
 
