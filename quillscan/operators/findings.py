@@ -23,13 +23,19 @@ def categories(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "category string, analyzer string, finding_type string, confidence double, tags array<string>, rank int, phase int")
 
 
+def untested(files: DataFrame) -> DataFrame:
+    """Units of more than five files without a test file, with their first file."""
+    each = files.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.bool_or("is_test").alias("tested"), F.min("ordinal").alias("ordinal"), F.min_by("path", "ordinal").alias("path"), F.min_by("first_line", "ordinal").alias("first_line"))
+    return each.where("n > 5 and not tested")
+
+
 def all_findings(files: DataFrame, local: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFrame:
     """Findings of all detectors with ``ev_seq``, the order in which they count.
 
     Only the first ``POOL`` of a unit are kept, so its ranking never holds more.
     """
     none = lambda kind: F.lit(None).cast(kind)
-    tests = files.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.bool_or("is_test").alias("tested"), F.min("ordinal").alias("ordinal"), F.min_by("path", "ordinal").alias("path"), F.min_by("first_line", "ordinal").alias("first_line")).where("n > 5 and not tested")
+    tests = untested(files)
     row = lambda df, category, severity, message, metric, value: df.select("unit", "ordinal", "path", F.lit(category).alias("category"), F.lit(severity).alias("severity"), none("int").alias("line"), message.alias("message"), F.nullif(F.substring(F.regexp_replace(F.col("first_line"), r"^\s+|\s+$", ""), 1, 300), F.lit("")).alias("snippet"), F.lit(metric).alias("metric_name"), value.alias("metric_value"), F.lit(0).alias("place"))
     code = files.where("readable").where(F.col("ext").isin(*detectors.paths.CODE_EXTENSIONS)).select("unit", "path", "ordinal", "first_line")
     coupled = graph.coupling(edges).join(code, ["unit", "path"])

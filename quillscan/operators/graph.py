@@ -107,6 +107,19 @@ def components(edges: DataFrame) -> DataFrame:
     return found.join(sizes, ["unit", "component"]).select("unit", "path", "component")
 
 
+def component_count(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """``unit, cycles``: components of two nodes or more, and single nodes with an edge to themselves."""
+    loops = edges.where("src = dst").select("unit", F.col("src").alias("path")).distinct().join(found.select("unit", "path"), ["unit", "path"], "left_anti")
+    each = found.select("unit", "component").distinct().unionByName(loops.select("unit", F.col("path").alias("component")))
+    return each.groupBy("unit").agg(F.count(F.lit(1)).alias("cycles"))
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """``unit, path, neighbours``: how many different nodes an edge of either direction leads to."""
+    both = edges.select("unit", F.col("src").alias("path"), F.col("dst").alias("other")).union(edges.select("unit", "dst", "src"))
+    return both.groupBy("unit", "path").agg(F.count_distinct("other").alias("neighbours"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """``unit, path, out_degree, in_degree``."""
     ends = edges.select("unit", F.col("src").alias("path"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select("unit", F.col("dst").alias("path"), F.lit(0).alias("o"), F.lit(1).alias("i")))

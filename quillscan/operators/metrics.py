@@ -27,6 +27,7 @@ LANGUAGES: dict[str, tuple[list[str], str, str, str]] = {
     "php": ([".php"], "brace", r"\b(?:class|interface|trait)\s+(\w+)", r"\bfunction\s+(\w+)\s*\("),
     "kotlin": ([".kt"], "brace", r"\b(?:class|interface|object)\s+(\w+)", r"\bfun\s+(?:<[^>]*>\s*)?(\w+)\s*\("),
     "swift": ([".swift"], "brace", r"\b(?:class|struct|protocol|enum)\s+(\w+)", r"\bfunc\s+(\w+)"),
+    "scala": ([".scala"], "brace", r"\b(?:class|object|trait)\s+(\w+)", r"\bdef\s+(\w+)"),
     "c": ([".c", ".h"], "brace", r"\bstruct\s+(\w+)\s*\{", r"^\w[\w\s*]*?\b(\w+)\s*\([^;{]*\)\s*\{"),
     "cpp": ([".cc", ".cpp", ".hpp"], "brace", r"\b(?:class|struct)\s+(\w+)", r"^\w[\w\s*&:<>]*?\b(\w+)\s*\([^;{]*\)\s*(?:const\s*)?\{"),
 }
@@ -77,6 +78,26 @@ def unit_metrics(metrics: DataFrame) -> DataFrame:
     )
 
 
+def evidence_columns(units: DataFrame, cycles: DataFrame) -> DataFrame:
+    """Per unit what its metrics stand for: findings by severity and analyzer, causes, smells, recommendations, coverage.
+
+    ``cycles``: unit, cycles; a unit without a row has none.
+    """
+    c = F.col
+    u = units.join(cycles, "unit", "left").withColumn("cycles", F.coalesce("cycles", F.lit(0)))
+    gods, loops, large, long = c("god_classes") > 0, c("cycles") > 0, c("large_files") > 3, (F.coalesce("mean_function", F.lit(0.0)) > 50) | (c("long_functions") > 0)
+    listed = lambda *names: F.array_compact(F.array(*(F.when(rule, F.lit(n)) for rule, n in zip((gods, loops, large, long), names))))
+    causes = listed("god_class", "circular_dependency", "large_file", "long_method")
+    total = c("long_functions") + c("god_classes") + c("cycles") + c("large_files")
+    return u.select(
+        "unit", c("cycles").alias("critical"), (c("long_functions") + c("god_classes")).alias("high"), c("large_files").alias("medium"), F.lit(0).alias("low"),
+        c("long_functions").alias("complexity_analyzer"), c("cycles").alias("import_analyzer"), c("large_files").alias("metrics_engine"), c("god_classes").alias("architecture_analyzer"),
+        causes.alias("causes"), listed("God Component:high:0.85", "Cyclic Dependency:high:0.92", "Architecture Sink:medium:0.75", "Blob Module:medium:0.70").alias("smells"),
+        F.size(causes).alias("recommendations"), (gods.cast("int") + loops.cast("int")).alias("verified_recommendations"),
+        F.when(total > 0, F.least(F.lit(100.0), round_half_up(100.0 * total / F.greatest(F.lit(1), 2 * F.size(causes))))).when(c("files") > 0, 100.0).otherwise(0.0).alias("coverage"),
+    )
+
+
 # Folder names that speak for an architecture.
 LABELS = {
     "layered": ["controllers", "services", "models"], "mvc": ["controllers", "views", "models"], "hexagonal": ["ports", "adapters"], "domain": ["domain"], "microservices": ["services"], "monorepo": ["packages", "apps"], "event-driven": ["events", "consumers", "producers"], "plugin": ["plugins", "extensions"], "component": ["components"],

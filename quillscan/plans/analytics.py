@@ -136,14 +136,6 @@ def _first_and_last(spark, d) -> tuple[DataFrame, DataFrame]:
     return f.where("scan_id = a").drop("a", "b"), f.where("scan_id = b").drop("a", "b")
 
 
-@query(f"""WITH {_PAIR} SELECT coalesce(x.category, y.category) AS category, count(*) FILTER (WHERE x.category IS NOT NULL AND y.category IS NOT NULL) AS matched, count(*) FILTER (WHERE y.category IS NULL) AS missing, count(*) FILTER (WHERE x.category IS NULL) AS extra
-FROM x FULL JOIN y ON x.repo = y.repo AND x.category = y.category GROUP BY 1""")
-def a22_confusion(spark, d):
-    a, b = _first_and_last(spark, d)
-    a, b = a.select("repo", "category").distinct().withColumn("a", F.lit(True)), b.select("repo", "category").distinct().withColumn("b", F.lit(True))
-    return a.join(b, ["repo", "category"], "full").groupBy("category").agg(F.count_if(F.col("a") & F.col("b")).alias("matched"), F.count_if(F.col("b").isNull()).alias("missing"), F.count_if(F.col("a").isNull()).alias("extra"))
-
-
 @query("SELECT ext, sum(n)::BIGINT AS n FROM (SELECT unnest(map_keys(extension_counts)) AS ext, unnest(map_values(extension_counts)) AS n FROM scans) GROUP BY ext ORDER BY n DESC, ext LIMIT 5")
 def a24_top_extensions(spark, d):
     return load(spark, d, "scans").select(F.explode("extension_counts").alias("ext", "n")).groupBy("ext").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ext").limit(5)
@@ -185,15 +177,6 @@ def g10_membership(spark, d):
     return r.select("run_id", F.col("s.smell").alias("smell"), F.explode("s.evidence_ids").alias("evidence_id")).where("evidence_id is not null")
 
 
-@query(f"""WITH a AS (SELECT finding_key, repo, category, severity, row_number() OVER (PARTITION BY repo, scan_id, file_path, category ORDER BY finding_key) AS n, scan_id FROM findings),
-b AS (SELECT *, row_number() OVER (PARTITION BY repo, scan_id ORDER BY {W} DESC, finding_key) AS kept_rank FROM a WHERE n <= 5) SELECT finding_key, kept_rank FROM b WHERE kept_rank <= 300""")
-def w01_w02_cap(spark, d):
-    f = load(spark, d, "findings").select("finding_key", "repo", "scan_id", "file_path", "category", "severity")
-    f = f.withColumn("n", F.row_number().over(Window.partitionBy("repo", "scan_id", "file_path", "category").orderBy("finding_key"))).where("n <= 5")
-    top = Window.partitionBy("repo", "scan_id").orderBy(weight(F.col("severity")).desc(), "finding_key")
-    return f.withColumn("kept_rank", F.row_number().over(top)).where("kept_rank <= 300").select("finding_key", "kept_rank")
-
-
 @query("""WITH f AS (SELECT repo, category, min(finding_key) AS k FROM findings WHERE category <> 'magic_number' GROUP BY 1, 2)
 SELECT repo, category, n AS rank_no FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY k) AS n FROM f) WHERE n <= 5""")
 def w05_first_categories(spark, d):
@@ -249,27 +232,6 @@ def p14_scan_aggregates(spark, d):
     return load(spark, d, "scan_files").groupBy("scan_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.count_if(F.length("content") > 0).alias("text_files"), F.sum(n).alias("lines"))
 
 
-@query("SELECT file_id, len(regexp_split_to_array(content, '\\r\\n|\\r|\\n')) AS lines FROM scan_files WHERE len(regexp_split_to_array(content, '\\r\\n|\\r|\\n')) > 300")
-def d01_large_files(spark, d):
-    n = F.size(text.lines_of(F.col("content")))
-    return load(spark, d, "scan_files").select("file_id", n.alias("lines")).where("lines > 300")
-
-
-@query("""WITH l AS (SELECT file_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM scan_files WHERE content IS NOT NULL),
-m AS (SELECT file_id, n, length(regexp_extract(line, '^(.*?)\\b(?:[tT][oO][dD][oO]|[fF][iI][xX][mM][eE]|[hH][aA][cC][kK])\\b', 1)) AS t, CASE WHEN regexp_matches(line, '//|#|--|/\\*|\\*') THEN length(regexp_extract(line, '^(.*?)(?://|#|--|/\\*|\\*)', 1)) ELSE -1 END AS c FROM l WHERE regexp_matches(line, '\\b(todo|fixme|hack)\\b', 'i'))
-SELECT file_id, min(n) AS line_no FROM m WHERE c = -1 OR t > c GROUP BY file_id""")
-def d02_debt_marks(spark, d):
-    f = load(spark, d, "scan_files").select("file_id", F.posexplode(F.split("content", "\n", -1)).alias("n", "line")).where(F.col("line").rlike(r"(?i)\b(todo|fixme|hack)\b"))
-    t, c = F.regexp_instr("line", F.lit(r"(?i)\b(?:todo|fixme|hack)\b")), F.regexp_instr("line", F.lit(r"//|#|--|/\*|\*"))
-    return f.where((c == 0) | (t > c)).groupBy("file_id").agg((F.min("n") + 1).alias("line_no"))
-
-
-@query("SELECT repo, count(*) AS files FROM (SELECT DISTINCT repo, scan_id, path FROM scan_files) GROUP BY repo HAVING count(*) > 5 AND repo NOT IN (SELECT repo FROM scan_files WHERE regexp_matches(path, '(^|/)tests?/', 'i'))")
-def d11_without_tests(spark, d):
-    f = load(spark, d, "scan_files").select("repo", "scan_id", "path").distinct()
-    return f.groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.bool_or(F.col("path").rlike("(?i)(^|/)tests?/")).alias("tested")).where("files > 5 and not coalesce(tested, false)").select("repo", "files")
-
-
 @query("""WITH s AS (SELECT finding_key, evidence_snippet AS s FROM findings WHERE category = 'hardcoded_secret' AND length(evidence_snippet) > 0),
 c AS (SELECT finding_key, length(s)::DOUBLE AS n, unnest(string_split(s, '')) AS ch FROM s), p AS (SELECT finding_key, count(*) / max(n) AS p FROM c GROUP BY finding_key, ch)
 SELECT finding_key, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY finding_key""")
@@ -291,30 +253,7 @@ def r11_doubtful(spark, d):
     return r.where("c.confidence < 0.75 or c.evidence_count < 2").select("run_id", "repository", F.col("c.candidate_id").alias("candidate_id"))
 
 
-@query("SELECT scan_id, (total_files IS NOT NULL)::INT + (total_bytes IS NOT NULL)::INT + (total_lines IS NOT NULL)::INT + (coalesce(has_tests, false))::INT + (coalesce(len(manifests), 0) > 0)::INT AS covered FROM scans")
-def a25_phase_coverage(spark, d):
-    tests = [F.col("total_files").isNotNull(), F.col("total_bytes").isNotNull(), F.col("total_lines").isNotNull(), F.coalesce("has_tests", F.lit(False)), F.coalesce(F.size("manifests"), F.lit(0)) > 0]
-    return load(spark, d, "scans").select("scan_id", sum((t.cast("int") for t in tests), F.lit(0)).alias("covered"))
-
-
 @query("SELECT repo, scan_id, n AS run_no, total_files - lag(total_files) OVER (PARTITION BY repo ORDER BY n) AS grown FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY scanned_at, scan_id) AS n FROM scans)")
 def w06_neighbours(spark, d):
     s = load(spark, d, "scans").withColumn("run_no", F.row_number().over(Window.partitionBy("repo").orderBy("scanned_at", "scan_id")))
     return s.select("repo", "scan_id", "run_no", (F.col("total_files") - F.lag("total_files").over(Window.partitionBy("repo").orderBy("run_no"))).alias("grown"))
-
-
-@query("SELECT file_id, sum(CASE c WHEN '{' THEN 1 ELSE -1 END)::BIGINT AS balance, count(*) AS braces FROM (SELECT file_id, unnest(regexp_extract_all(content, '[{}]')) AS c FROM scan_files) GROUP BY file_id")
-def e05_brace_balance(spark, d):
-    opened, closed = F.regexp_count("content", F.lit(r"\{")), F.regexp_count("content", F.lit(r"\}"))
-    return load(spark, d, "scan_files").select("file_id", (opened - closed).cast("bigint").alias("balance"), (opened + closed).cast("bigint").alias("braces")).where("braces > 0")
-
-
-@query("""SELECT file_id, unnest(regexp_extract_all(content, '(?:from|import|require_relative)\\s+["'']([^"'']+)["'']', 1)) AS target FROM scan_files""")
-def g01_import_targets(spark, d):
-    return load(spark, d, "scan_files").select("file_id", F.explode(F.regexp_extract_all("content", F.lit(r"(?:from|import|require_relative)\s+[\"']([^\"']+)[\"']"), F.lit(1))).alias("target"))
-
-
-@query("SELECT n_name AS nation, c_mktsegment AS segment, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ROLLUP (n_name, c_mktsegment)")
-def x_rollup(spark, d):
-    o = load(spark, d, "orders").select("o_custkey", "o_totalprice").join(load(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_nationkey"), "o_custkey").join(load(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
-    return o.rollup(F.col("n_name").alias("nation"), F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))

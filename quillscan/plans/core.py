@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillscan.operators import detectors, external, flatten, metrics, report, schema_drift
-from quillscan.plans import analytics
+from quillscan.operators import detectors, flatten, metrics, report, schema_drift
+from quillscan.plans import analytics, reports  # noqa: F401 - reports registers its queries with those of analytics
 from quillscan.plans.pipeline import Analysis, analyse
 from quillscan.session import load
 from quillscan.sources import files as sources
@@ -99,20 +99,13 @@ def architecture_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.architecture_labels(detectors.kept_files(load(spark, sf_dir, "scan_files")))
 
 
-def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = load(spark, sf_dir, "findings")
-    ours = f.where("validation_status = 'verified' and confidence is not null").selectExpr("repo AS repository", "category AS finding_type", "cast(finding_key AS string) AS id", "confidence")
-    others = f.where("validation_status <> 'verified' and confidence is not null").selectExpr("repo AS repository", "category AS finding_type", "analyzer AS source_type", "confidence")
-    return external.agreement(ours, others)
-
-
 def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _analysis(spark, sf_dir)
     return sources.report_text(a.scores, report.root_causes(a.capped))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_table_analysis_result, p1_table_demo_result, p6_found, p6_runs, p6_smells, pipeline_findings, pipeline_capped, pipeline_scores, pipeline_causes, pipeline_steps, pipeline_claims, pipeline_nodes, pipeline_edges, import_edges, import_cycles, file_metrics, unit_metrics, architecture_labels, agreement, report_texts]
+    own = [p1_found, p1_table_analysis_result, p1_table_demo_result, p6_found, p6_runs, p6_smells, pipeline_findings, pipeline_capped, pipeline_scores, pipeline_causes, pipeline_steps, pipeline_claims, pipeline_nodes, pipeline_edges, import_edges, import_cycles, file_metrics, unit_metrics, architecture_labels, report_texts]
     return {f.__name__: f for f in own} | analytics.QUERIES
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -63,16 +64,44 @@ def safe_url(url: Column) -> Column:
 
 
 def inside(root: str, path: str) -> bool:
-    """Does ``path`` stay below ``root``?"""
-    parts: list[str] = []
-    for p in PurePosixPath(path).parts:
-        if p == "..":
-            if not parts:
-                return False
-            parts.pop()
-        elif p not in (".", "/"):
-            parts.append(p)
-    return not path.startswith("/") or PurePosixPath(path).is_relative_to(root)
+    """Does ``path``, taken from ``root`` where it isn't absolute, stay below ``root`` once ``.`` and ``..`` are applied?"""
+    top = posixpath.normpath(root)
+    return PurePosixPath(posixpath.normpath(posixpath.join(top, path))).is_relative_to(top)
+
+
+def below(root: str, path: str) -> str:
+    """``path`` joined to ``root``; an error where it would lead outside."""
+    if not inside(root, path):
+        raise ValueError(f"{path!r} leads outside {root!r}")
+    return posixpath.join(root, path)
+
+
+# What a browser doesn't send.
+UNSENT_FOLDERS = "node_modules .git .next .turbo .cache dist build coverage vendor __pycache__ .venv venv bin obj .idea .vscode validation_workspace validation_results benchmarks".split()
+UNSENT_EXTENSIONS = "png jpg jpeg gif ico svg webp avif pdf zip tar gz 7z rar mp4 mp3 mov woff woff2 ttf eot otf exe dll so dylib class pyc db sqlite bin iso lock pack idx".split()
+
+
+def sent_files(files: DataFrame) -> DataFrame:
+    """The files that a browser would upload, of any size."""
+    low = F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1))
+    return files.where(~F.arrays_overlap(F.split("path", r"[/\\]"), F.array(*map(F.lit, UNSENT_FOLDERS))) & ~low.isin(*UNSENT_EXTENSIONS))
+
+
+def write_artifacts(artifacts: dict[str, DataFrame], folder: str, key: str = "unit") -> None:
+    """One table of JSON rows per artifact, parted by unit; a unit's rows of an earlier run are replaced."""
+    for name, df in artifacts.items():
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).json(below(folder, name))
+
+
+def execution_log(runs: DataFrame) -> DataFrame:
+    """``repository, status, retries, errors`` of every result of the runs."""
+    r = runs.select("run_id", F.explode("results").alias("r")).where("r is not null")
+    return r.select("run_id", F.col("r.repository").alias("repository"), F.col("r.execution_log.status").alias("status"), F.col("r.execution_log.retries").alias("retries"), F.coalesce(F.size("r.execution_log.errors"), F.lit(0)).alias("errors"))
+
+
+def run_summary(log: DataFrame) -> DataFrame:
+    """Per run the results by status, the retries and errors; only runs with a real result count."""
+    return log.where("status is not null").groupBy("run_id").agg(F.count(F.lit(1)).alias("results"), F.count_if(F.lower("status").isin("success", "completed", "ok")).alias("successful"), F.sum("retries").alias("retries"), F.sum("errors").alias("errors"))
 
 
 def write_results(df: DataFrame, folder: str, key: str = "job_id") -> None:
@@ -102,6 +131,17 @@ def history(log: DataFrame, most: int = 20, url: str = "repo_url", at: str = "ts
     return log.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").orderBy(F.desc(at), url).limit(most)
 
 
+def without(log: DataFrame, entry: str | None = None, url: str = "repo_url") -> DataFrame:
+    """The history without one repository's entries, or none of it."""
+    return log.limit(0) if entry is None else log.where(~F.col(url).eqNullSafe(F.lit(entry)))
+
+
+def exported(log: DataFrame, payload: bool = True, column: str = "result") -> DataFrame:
+    """The history as JSON texts, with or without its results."""
+    kept = log if payload else log.drop(column)
+    return kept.select(F.to_json(F.struct(*kept.columns)).alias("entry"))
+
+
 def report_text(scores: DataFrame, causes: DataFrame, form: str = "markdown") -> DataFrame:
     """One text per unit: markdown, html or json; another form falls back to markdown."""
     c = causes.groupBy("unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank_no", "title", "severity", "evidence_count"))), lambda x: x).alias("causes"))
