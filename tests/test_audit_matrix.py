@@ -28,7 +28,7 @@ CALL = {"ts": "step();", "py": "step()", "go": "step()", "java": "step();", "rb"
 LINE = {
     "hardcoded_secret": {"ts": lambda: f'const t = "{token()}";', "py": lambda: f't = "{token()}"', "go": lambda: f't := "{token()}"', "java": lambda: f'String t = "{token()}";', "rb": lambda: f't = "{token()}"'},
     "command_injection": {"ts": "execSync(a);", "py": "os.system(a)", "go": "exec.Command(a)", "java": "Runtime.getRuntime().exec(a);", "rb": "system(a)"},
-    "weak_crypto": {"ts": 'createHash("md5");', "py": "hashlib.md5(a)", "go": "md5.Sum(a)", "java": 'MessageDigest.getInstance("MD5");', "rb": "Digest::MD5.hexdigest(a)"},
+    "weak_crypto": {"ts": 'createHash("md5");', "py": "hashlib.md5(a)", "go": "md5.Sum(a)", "java": 'MessageDigest.getInstance("MD5");', "rb": "Digest::MD5.new"},
     "magic_number": {"ts": "const n = 4711;", "py": "n = 4711", "go": "n := 4711", "java": "int n = 4711;", "rb": "n = 4711"},
     "empty_handler": {"ts": "try { step(); } catch (e) {}", "py": "try: step()\n    except Exception: pass", "go": "defer func() { recover() }()", "java": "try { step(); } catch (Exception e) {}", "rb": "begin\n      step\n    rescue\n    end"},
     "todo_debt": {"ts": "// TODO later", "py": "# TODO later", "go": "// TODO later", "java": "// TODO later", "rb": "# TODO later"},
