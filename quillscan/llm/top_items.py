@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillscan.session import durable
+
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
 
 
@@ -65,6 +67,7 @@ def top_findings(findings: DataFrame, n: int = 3, heavy_from: int = 20_000) -> D
     f = findings.select("finding_key", "scan_id", "repo", "id", "severity", "confidence", "file_path")
     f = first_of_deliveries(f, ["repo", "scan_id", "id"], "finding_key").where(F.col("file_path").isNotNull())
     f = f.select("finding_key", "repo", same_file(F.col("file_path")).alias("file"), severity_rank(F.col("severity")).alias("sev"), F.nanvl("confidence", F.lit(None).cast("double")).alias("conf"))
+    f = durable(f)  # counted, then read by the light and the heavy side
     order = [F.col("sev"), F.col("conf").desc_nulls_last(), F.col("finding_key")]
     bands = [F.col("sev"), F.floor(F.coalesce("conf", F.lit(-1.0)) * 10)]
     return top_n(f, ["repo", "file"], order, bands, n, heavy_from).select("finding_key", F.col("rank_no").cast("bigint").alias("rank_no"))
