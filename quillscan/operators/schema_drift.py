@@ -1,12 +1,12 @@
 """Problem 1: schemas that drift between files.
 
 Every record is fingerprinted once: each path below the chosen roots with its type and
-the hashed value of its entity. Per file the fingerprints merge into one schema version
-(types per path, and a bounded sample of entity/value hashes per path). A file's version
-is compared with the one before it; the differences are the migration steps: renamed,
-added, removed, retyped. The steps chain: ``migrated`` composes those of a stream, in file
-order, into rename, default and cast rules and applies them to every record, which gives
-one table per document type.
+the hashed value of its entity. Per file the fingerprints merge into one schema version,
+the types per path. A file's version is compared with the one before it; the differences
+are the migration steps: renamed, added, removed, retyped. Whether a path that went is one
+that came is told by the values of all records of both files. The steps chain:
+``migrated`` composes those of a stream, in file order, into rename, default and cast
+rules and applies them to every record, which gives one table per document type.
 """
 
 from __future__ import annotations
@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 
 from quillscan.session import durable
 
-#: Entity/value hashes kept per path and file: those with the smallest entity hashes, so
-#: that two files keep the same entities. 256 of them estimate an overlap within 0.04.
-SAMPLE = 256
 ROOTS = ["classification", "engineering_review"]
 SQL_TYPE = {"string": "string", "integer": "bigint", "decimal": "double", "boolean": "boolean"}
 
@@ -45,7 +42,7 @@ def _walk(v: object, path: str, out: dict[str, tuple[set[str], list]]) -> None:
     kinds, values = out.setdefault(path, (set(), []))
     kinds.add(kind_of(v))
     if isinstance(v, dict):
-        values.append(sorted(map(str, v)) and json.dumps(v, sort_keys=True))
+        values.append(json.dumps(v, sort_keys=True))
         for k, x in v.items():
             _walk(x, f"{path}.{k}", out)
     elif isinstance(v, list):
@@ -68,12 +65,16 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def fingerprints(exports: DataFrame, roots: list[str] = ROOTS, sample: int = SAMPLE) -> DataFrame:
-    """One row per stream, file and path: kinds and a bounded sample of (entity, value) hashes."""
+def observed(exports: DataFrame, roots: list[str] = ROOTS) -> DataFrame:
+    """``stream, file_no, path, kind, entity, value``: what the records of a file hold at each path, entity and value hashed.
+
+    A row of the empty path stands for the file itself. Rows that a batch would repeat are
+    left out; values of all records are kept.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            got: dict[tuple, tuple[set, dict]] = {}
+            got: dict[tuple, None] = {}
             for stream, no, payload in frame.itertuples(index=False):
                 try:
                     doc = json.loads(payload)
@@ -85,21 +86,19 @@ def fingerprints(exports: DataFrame, roots: list[str] = ROOTS, sample: int = SAM
                 for root in roots:
                     _walk(doc.get(root), root, paths)
                 entity = _signed(xxhash.xxh64_intdigest(_entity(doc)))
-                got.setdefault((stream, no, ""), (set(), {}))
+                got[stream, no, "", None, 0, 0] = None
                 for path, (kinds, values) in paths.items():
-                    k, hashes = got.setdefault((stream, no, path), (set(), {}))
-                    k |= kinds
-                    hashes[entity] = _signed(xxhash.xxh64_intdigest("\0".join(values)))
-            rows = [(s, n, p, sorted(k), [{"e": e, "v": h[e]} for e in sorted(h)[:sample]]) for (s, n, p), (k, h) in got.items()]
-            yield pd.DataFrame(rows, columns=["stream", "file_no", "path", "kinds", "seen"])
+                    value = _signed(xxhash.xxh64_intdigest("\0".join(values)))
+                    got.update(((stream, no, path, kind, entity, value), None) for kind in kinds)
+            yield pd.DataFrame(list(got), columns=["stream", "file_no", "path", "kind", "entity", "value"])
 
-    each = exports.select("stream", F.col("file_no").cast("bigint").alias("file_no"), "payload").where("stream is not null and file_no is not null").mapInPandas(
-        run, "stream string, file_no bigint, path string, kinds array<string>, seen array<struct<e:bigint,v:bigint>>"
-    )
-    return each.groupBy("stream", "file_no", "path").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"),
-        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("seen")))), 1, sample).alias("seen"),
-    )
+    picked = exports.select("stream", F.col("file_no").cast("bigint").alias("file_no"), "payload").where("stream is not null and file_no is not null")
+    return picked.mapInPandas(run, "stream string, file_no bigint, path string, kind string, entity bigint, value bigint")
+
+
+def schemas(seen: DataFrame) -> DataFrame:
+    """``stream, file_no, path, kinds``: one row per path of a file; there are six kinds."""
+    return seen.groupBy("stream", "file_no", "path").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
 def _settled(kinds: list[str]) -> str:
@@ -118,25 +117,34 @@ def _bare(path: str) -> str:
     return re.sub(r"[^a-z0-9]", "", path[path.rfind(".") + 1 :].lower())
 
 
-def steps(old: dict[str, tuple[str, dict[int, int]]], new: dict[str, tuple[str, dict[int, int]]]) -> list[tuple[str, str, str]]:
-    """The migration steps between two schema versions, outermost paths only."""
+def _fields(schema: dict[str, str]) -> set[str]:
+    return {p for p in schema if not p.endswith("]")}
+
+
+def _outer(paths: set[str]) -> set[str]:
+    return {p for p in paths if _parent(p).rstrip("[]") not in paths and not any(p.startswith((q + ".", q + "[")) for q in paths)}
+
+
+def candidates(old: dict[str, str], new: dict[str, str]) -> list[tuple[str, str]]:
+    """Pairs of a path that went and one that came beside the same siblings with the same type."""
+    gone, come = _outer(_fields(old) - _fields(new)), _outer(_fields(new) - _fields(old))
+    return [(a, b) for a in sorted(gone) for b in sorted(come) if _parent(a) == _parent(b) and old[a] == new[b]]
+
+
+def steps(old: dict[str, str], new: dict[str, str], shared: dict[tuple[str, str], tuple[int, int, int, int]]) -> list[tuple[str, str, str]]:
+    """The migration steps between two schema versions (path: type), outermost paths only.
+
+    ``shared``, per candidate pair: values of the entities that both files have, how many
+    of them agree, how many different values those are, and how many values the two sides
+    have in common at all.
+    """
     out: list[tuple[str, str, str]] = []
-    fields = lambda s: {p for p in s if not p.endswith("]")}
-    gone, come = fields(old) - fields(new), fields(new) - fields(old)
-    outer = lambda ps: {p for p in ps if _parent(p).rstrip("[]") not in ps and not any(p.startswith((q + ".", q + "[")) for q in ps)}
-    gone, come = outer(gone), outer(come)
+    gone, come = _outer(_fields(old) - _fields(new)), _outer(_fields(new) - _fields(old))
     pairs = []
-    for a in gone:
-        for b in come:
-            if _parent(a) != _parent(b) or old[a][0] != new[b][0]:
-                continue
-            va, vb = old[a][1], new[b][1]
-            both = va.keys() & vb.keys()
-            same = sum(va[e] == vb[e] for e in both)
-            need = 0.9 if old[a][0] == "boolean" else 0.5  # two booleans agree often by chance
-            if both and same / len(both) >= need or not both and set(va.values()) & set(vb.values()):
-                distinct = len({va[e] for e in both if va[e] == vb[e]})
-                pairs.append((same / max(1, len(both)), distinct, _bare(a) == _bare(b), a, b))
+    for (a, b), (both, same, distinct, common) in shared.items():
+        need = 0.9 if old[a] == "boolean" else 0.5  # two booleans agree often by chance
+        if both and same / both >= need or not both and common:
+            pairs.append((same / max(1, both), distinct, _bare(a) == _bare(b), a, b))
     renamed: dict[str, str] = {}
     for _, _, _, a, b in sorted(pairs, reverse=True):
         if a not in renamed and b not in renamed.values():
@@ -144,7 +152,7 @@ def steps(old: dict[str, tuple[str, dict[int, int]]], new: dict[str, tuple[str,
     out += [("renamed", a, b) for a, b in renamed.items()]
     out += [("removed", a, "") for a in gone - renamed.keys()]
     out += [("added", "", b) for b in come - set(renamed.values())]
-    changed = {p for p in old.keys() & new.keys() if old[p][0] != new[p][0]}
+    changed = {p for p in old.keys() & new.keys() if old[p] != new[p]}
     out += [("retyped", p, p) for p in changed if not any(p != q and p.startswith((q + ".", q + "[")) for q in changed)]
     cut = [p for c, p, _ in out if c == "retyped"]
     return [(c, a, b) for c, a, b in out if c == "retyped" or not any((a or b).startswith((q + ".", q + "[")) for q in cut)]
@@ -157,26 +165,52 @@ def drift(exports: DataFrame, roots: list[str] = ROOTS) -> DataFrame:
     null stream or file_no belongs to no file; the first file of a stream has no rows. A
     file whose records all lack the roots has an empty schema.
     """
-    return _changes(durable(fingerprints(exports, roots)))
+    return _changes(durable(observed(exports, roots)))
 
 
-def _changes(prints: DataFrame) -> DataFrame:
-    versions = prints.groupBy("stream", "file_no").agg(F.collect_list(F.struct("path", "kinds", "seen")).alias("version"))
+def _shared_values(seen: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per candidate pair of ``pairs`` (stream, file_no, before, a, b) the counts that ``steps`` asks for, over all records.
+
+    Both sides are counted in partial aggregates; no entity's or value's rows meet in one task before that.
+    """
+    pair = ["stream", "file_no", "a", "b"]
+    old = seen.withColumnsRenamed({"file_no": "before", "path": "a"}).join(pairs, ["stream", "before", "a"]).select(*pair, "entity", "value", F.lit(1).alias("o"), F.lit(0).alias("n"))
+    new = seen.withColumnRenamed("path", "b").join(pairs, ["stream", "file_no", "b"]).select(*pair, "entity", "value", F.lit(0).alias("o"), F.lit(1).alias("n"))
+    each = old.unionByName(new).groupBy(*pair, "entity", "value").agg(F.max("o").alias("o"), F.max("n").alias("n"))
+    known = each.groupBy(*pair, "entity").agg(F.sum("o").alias("o"), F.sum("n").alias("n"), F.sum(F.col("o") * F.col("n")).alias("s")).where("o > 0 and n > 0")
+    agreeing = known.groupBy(*pair).agg(F.sum(F.greatest("o", "n")).alias("both"), F.sum("s").alias("same"))
+    values = each.groupBy(*pair, "value").agg(F.max("o").alias("o"), F.max("n").alias("n"), F.max(F.col("o") * F.col("n")).alias("s"))
+    common = values.groupBy(*pair).agg(F.sum("s").alias("distinct"), F.sum(F.col("o") * F.col("n")).alias("common"))
+    return common.join(agreeing, pair, "left").na.fill(0, ["both", "same"])
+
+
+def _changes(seen: DataFrame) -> DataFrame:
+    versions = schemas(seen).groupBy("stream", "file_no").agg(F.collect_list(F.struct("path", "kinds")).alias("version"))
     order = Window.partitionBy("stream").orderBy("file_no")
-    numbers = prints.where("path = ''").select("stream", "file_no").withColumn("before", F.lag("file_no").over(order)).where("before is not null")
-    now = numbers.join(versions, ["stream", "file_no"])
+    numbers = versions.select("stream", "file_no").withColumn("before", F.lag("file_no").over(order)).where("before is not null")
     then = versions.select("stream", F.col("file_no").alias("before"), F.col("version").alias("earlier"))
-    both = now.join(then, ["stream", "before"]).select("stream", "file_no", "earlier", "version")
+    both = durable(numbers.join(versions, ["stream", "file_no"]).join(then, ["stream", "before"]).select("stream", "file_no", "before", "earlier", "version"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def shaped(version: list[dict]) -> dict[str, tuple[str, dict[int, int]]]:
-            return {v["path"]: (_settled(v["kinds"]), {s["e"]: s["v"] for s in v["seen"]}) for v in version if v["path"]}
+    def shaped(version: list[dict]) -> dict[str, str]:
+        return {v["path"]: _settled(v["kinds"]) for v in version if v["path"]}
 
+    def paired(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(s, n, *c) for s, n, a, b in frame.itertuples(index=False) for c in steps(shaped(a), shaped(b))]
+            rows = [(s, n, k, *p) for s, n, k, a, b in frame.itertuples(index=False) for p in candidates(shaped(a), shaped(b))]
+            yield pd.DataFrame(rows, columns=["stream", "file_no", "before", "a", "b"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for s, n, a, b, shared in frame.itertuples(index=False):
+                known = {(x["a"], x["b"]): (x["both"], x["same"], x["distinct"], x["common"]) for x in shared} if shared is not None else {}
+                rows += [(s, n, *c) for c in steps(shaped(a), shaped(b), known)]
             yield pd.DataFrame(rows, columns=["stream", "file_no", "change", "old_path", "new_path"])
 
-    return both.mapInPandas(run, "stream string, file_no bigint, change string, old_path string, new_path string")
+    pairs = durable(both.mapInPandas(paired, "stream string, file_no bigint, before bigint, a string, b string"))
+    shared = _shared_values(seen, pairs).groupBy("stream", "file_no").agg(F.collect_list(F.struct("a", "b", "both", "same", "distinct", "common")).alias("shared"))
+    told = both.join(shared, ["stream", "file_no"], "left").select("stream", "file_no", "earlier", "version", "shared")
+    return told.mapInPandas(run, "stream string, file_no bigint, change string, old_path string, new_path string")
 
 
 # --- migration -------------------------------------------------------------------------
@@ -303,10 +337,10 @@ def moved(v: object, path: str, name: str, rules: dict[str, str], kinds: dict[st
     return out
 
 
-def _composed(prints: DataFrame) -> DataFrame:
+def _composed(seen: DataFrame) -> DataFrame:
     """Per stream its files' rules and the newest kinds of its fields."""
-    versions = prints.groupBy("stream").agg(F.collect_list(F.struct("file_no", "path", "kinds")).alias("paths"))
-    changes = _changes(prints).groupBy("stream").agg(F.collect_list(F.struct("file_no", "change", "old_path", "new_path")).alias("changes"))
+    versions = schemas(seen).groupBy("stream").agg(F.collect_list(F.struct("file_no", "path", "kinds")).alias("paths"))
+    changes = _changes(seen).groupBy("stream").agg(F.collect_list(F.struct("file_no", "change", "old_path", "new_path")).alias("changes"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -338,7 +372,7 @@ def migrated(exports: DataFrame, doc_type: str, root: str) -> DataFrame:
     record_id stays; a null stream or file_no belongs to no file and has no row.
     """
     records = exports.where((F.col("doc_type") == doc_type) & F.col("stream").isNotNull() & F.col("file_no").isNotNull())
-    composed = durable(_composed(durable(fingerprints(records, [root]))))
+    composed = durable(_composed(durable(observed(records, [root]))))
     seen = composed.select(F.explode("newest").alias("f")).select("f.path", F.explode("f.kinds").alias("kind"))
     # one row per field of the document type
     fields = seen.groupBy(F.lower("path").alias("low")).agg(F.min("path").alias("path"), F.collect_set("kind").alias("kinds")).collect()

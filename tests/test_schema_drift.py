@@ -83,9 +83,22 @@ def test_empty_table(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.sampled_from("abcdef"), st.integers(0, 9), max_size=5), st.dictionaries(st.sampled_from("abcdef"), st.integers(0, 9), max_size=5))
 def test_steps_account_for_every_field(old, new):
-    shape = lambda d: {"root": ("object", {1: hash(str(d))})} | {f"root.{k}": ("integer", {1: v}) for k, v in d.items()}
-    out = sd.steps(shape(old), shape(new))
+    shape = lambda d: {"root": "object"} | {f"root.{k}": "integer" for k in d}
+    same = lambda a, b: int(old[a[-1]] == new[b[-1]])
+    out = sd.steps(shape(old), shape(new), {(a, b): (1, same(a, b), same(a, b), same(a, b)) for a, b in sd.candidates(shape(old), shape(new))})
     gone = {a for c, a, _ in out if c in ("removed", "renamed")}
     come = {b for c, _, b in out if c in ("added", "renamed")}
     assert gone == {f"root.{k}" for k in old.keys() - new.keys()}
     assert come == {f"root.{k}" for k in new.keys() - old.keys()}
+
+
+def test_renames_are_told_by_all_records(spark):
+    # 600 records, a third of them of one repository; two fields come and only one holds the old values
+    name = lambda k: "big" if k % 3 == 0 else f"r{k}"
+    one = [record(name(k), loc=k * 7, empty={}) for k in range(600)]
+    two = [record(name(k), size=k * 7, weight=k * 11, empty={}) for k in range(600)]
+    assert changes(spark, {1: one, 2: two}) == [(2, "added", "", "classification.weight"), (2, "renamed", "classification.loc", "classification.size")]
+    # records without a repository are entities of their own, and other records follow: only the values tell
+    three = [{"id": f"a{k}", "classification": {"x": k % 50}} for k in range(400)]
+    four = [{"id": f"b{k}", "classification": {"y": k % 50, "z": 1000 + k}} for k in range(400)]
+    assert changes(spark, {1: three, 2: four}) == [(2, "added", "", "classification.z"), (2, "renamed", "classification.x", "classification.y")]
