@@ -17,12 +17,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillscan.session import durable
+from quillscan.session import durable, spread
 
 BLOCK_CHARS = 80  # shorter blocks (closing lines, imports) recur everywhere: they are hashed with their neighbours
 SUBTREE_CHARS = 300  # smaller subtrees (empty packages) aren't evidence
 SHARED_PART = 0.4
-SALTS = 8
+HOT = 1000  # a block that holds more than one in so many of all blocks is hot: there are fewer hot ones than that
 
 CODE = frozenset("py js ts jsx tsx mjs cjs java go rb css scss less c h cc cpp hpp cs php rs kt swift scala sql sh lua pl r m vue html htm xml svg".split())
 LOCK_NAME = re.compile(r"(?:^|/)(?:[\w.-]*[-.]lock(?:\.json|\.ya?ml)?|[\w-]*lock\.json|npm-shrinkwrap\.json|go\.sum|[\w.-]+\.lock)$", re.I)
@@ -155,7 +155,7 @@ def scanned(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["file_id", "scan_id", "repo", "path", "rule", "blocks", "hash", "size"])
 
     picked = files.select(F.col("file_id").cast("bigint"), F.col("scan_id").cast("bigint"), "repo", "path", "content").where("path is not null and length(content) > 0")
-    return picked.mapInPandas(run, "file_id bigint, scan_id bigint, repo string, path string, rule string, blocks array<struct<h:bigint,n:int>>, hash bigint, size int")
+    return spread(picked).mapInPandas(run, "file_id bigint, scan_id bigint, repo string, path string, rule string, blocks array<struct<h:bigint,n:int>>, hash bigint, size int")
 
 
 def _unrelated(owner: str = "owner") -> Column:
@@ -165,10 +165,12 @@ def _unrelated(owner: str = "owner") -> Column:
 def shared_parts(nodes: DataFrame) -> DataFrame:
     """``file_id, part``: the share of a file's text in blocks that unrelated owners have."""
     blocks = nodes.select("file_id", "owner", "size", F.explode("blocks").alias("b")).select("file_id", "owner", "size", "b.h", "b.n")
-    shared = blocks.groupBy("h").agg(_unrelated().alias("s")).where("s").select("h")
-    # a block may stand in a third of all files: the files' side is salted
-    spread = shared.select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hits = blocks.withColumn("salt", F.pmod("file_id", F.lit(SALTS)).cast("int")).join(spread, ["h", "salt"])
+    shared = durable(blocks.groupBy("h").agg(_unrelated().alias("s"), F.count(F.lit(1)).alias("rows")).where("s").select("h", "rows"))
+    # a block may stand in a third of all files: the few hot ones go to every task, the rest meet by hash
+    most = (nodes.agg(F.sum(F.size("blocks"))).first()[0] or 0) / HOT
+    hot = blocks.join(F.broadcast(shared.where(F.col("rows") > most)), "h", "left_semi")
+    cold = blocks.join(F.broadcast(shared.where(F.col("rows") > most)), "h", "left_anti").join(shared.where(F.col("rows") <= most), "h", "left_semi")
+    hits = hot.unionByName(cold)
     return hits.groupBy("file_id").agg((F.sum("n") / F.max("size")).alias("part"))
 
 
@@ -196,7 +198,8 @@ def shared_subtrees(nodes: DataFrame) -> DataFrame:
         if below is not None:
             up = F.split("dir", "/")
             level = level.unionByName(below.select("scan_id", "owner", F.array_join(F.slice(up, 1, F.size(up) - 1), "/").alias("dir"), F.element_at(up, -1).alias("name"), "hash", "size"))
-        below = level.groupBy("scan_id", "owner", "dir").agg(F.xxhash64(F.bit_xor(F.xxhash64("name", "hash")), F.bit_xor(F.xxhash64("hash", "name", F.lit(1))), F.count(F.lit(1))).alias("hash"), F.sum("size").alias("size"))
+        # one level at a time: the plan stays as short as a level
+        below = durable(level.groupBy("scan_id", "owner", "dir").agg(F.xxhash64(F.bit_xor(F.xxhash64("name", "hash")), F.bit_xor(F.xxhash64("hash", "name", F.lit(1))), F.count(F.lit(1))).alias("hash"), F.sum("size").alias("size")))
         found = below if found is None else found.unionByName(below)
     if found is None:
         return nodes.sparkSession.createDataFrame([], "scan_id bigint, dir string")

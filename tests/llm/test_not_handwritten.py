@@ -65,3 +65,18 @@ def test_copies_of_many_short_blocks(spark):
 
 def test_empty_table(spark):
     assert n.not_handwritten(spark.createDataFrame([], KIND)).count() == 0
+
+
+def test_hot_blocks_and_deep_trees(spark, monkeypatch):
+    block = "def shared_helper(value):\n    total = value + 3\n    return total * value - 7  # the same everywhere, word for word\n"
+    own = lambda k: f"\n\ndef local_{k}(x):\n    return x + {k}\n"
+    rows = [(k, k, f"r{k}", f"src/m{k}.py", block + own(k)) for k in range(30)] + [(100 + k, 100 + k, f"q{k}", f"src/n{k}.py", "def alone(x):\n    return x\n" + own(k) * 3) for k in range(10)]
+    deep = "/".join("abcdefgh")
+    rows += [(200 + k, 200 + k, f"d{k}", f"{'lib' if k else 'third'}/{deep}/tool{j}.py", f"def tool_{j}(x):\n    return x * {j}\n" * 12) for k in range(2) for j in range(3)]
+    rows = [(500 + i, *r[1:]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "file_id long, scan_id long, repo string, path string, content string")
+    got = {}
+    for hot in (1, 1000):
+        monkeypatch.setattr(n, "HOT", hot)
+        got[hot] = {r.file_id for r in n.not_handwritten(df).collect()}
+    assert got[1] == got[1000] == {500 + i for i in range(30)} | {500 + i for i in range(40, 46)}
