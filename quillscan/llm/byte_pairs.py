@@ -15,9 +15,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from quillscan.session import spread
+
 #: Words kept per Python worker; beyond it the table starts anew (results don't depend on it).
+SLICE_BYTES = 16 << 20
 WORDS_KEPT = 400_000
 
 
@@ -127,6 +131,22 @@ class PairIndex:
         return pa.ListArray.from_arrays(pa.array(per_text.astype(np.int32)), pa.array(flat[index]))
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, rows) of slices of at most ``SLICE_BYTES`` of text, or of one row.
+
+    A text has no more ids than bytes, so the 32-bit list offsets of a slice hold.
+    """
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and held + n > SLICE_BYTES:
+            yield start, k - start
+            start, held = k, 0
+        held += n
+    if start < len(sizes):
+        yield start, len(sizes) - start
+
+
 def encode_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None) -> DataFrame:
     """One row (id, ids) per row of ``df``.
 
@@ -137,10 +157,9 @@ def encode_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = PairIndex(vocabulary_path)
         for b in batches:
-            # a slice of rows at a time keeps 32-bit list offsets and memory small
-            for k in range(0, b.num_rows, 2000):
-                s = b.slice(k, 2000)
+            for k, n in slices(b.column(1)):
+                s = b.slice(k, n)
                 yield pa.RecordBatch.from_arrays([s.column(0), index.batch(s.column(1).to_pylist())], ["id", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, ids array<bigint>").withColumnRenamed("id", id_col)
+    return spread(df.select(df[id_col].alias("id"), df[text_col].alias("text"))).mapInArrow(run, f"id {kind}, ids array<bigint>").withColumnRenamed("id", id_col)

@@ -44,3 +44,13 @@ def test_batches_do_not_matter(texts):
     assert got == PairIndex().batch(texts).to_pylist()
     enc = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=index.ranks, special_tokens={})
     assert got == [enc.encode_ordinary(t) for t in texts]
+
+
+def test_slices_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    from quillscan.llm import byte_pairs
+
+    monkeypatch.setattr(byte_pairs, "SLICE_BYTES", 10)
+    cut = lambda xs: list(byte_pairs.slices(pa.array(xs, pa.string())))
+    assert cut(["a" * 4, None, "é" * 3, "b", "c" * 40, "d"]) == [(0, 3), (3, 1), (4, 1), (5, 1)] and cut([]) == [] and cut([None, ""]) == [(0, 2)]
