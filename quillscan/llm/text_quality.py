@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillscan.session import durable
+from quillscan.session import durable, spread
 
 # Common words by language.
 COMMON = {
@@ -178,7 +178,7 @@ def statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", *OPEN, "x"])
 
     kinds = "id bigint, n_chars double, n_words double, " + ", ".join(f"{c} double" for c in OPEN[2:]) + ", x array<double>"
-    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, kinds)
+    return spread(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))).mapInPandas(run, kinds)
 
 
 def _log_density(z: np.ndarray, model: dict) -> np.ndarray:
@@ -191,18 +191,25 @@ def _log_density(z: np.ndarray, model: dict) -> np.ndarray:
     return out
 
 
-def responsibilities(z: np.ndarray, model: dict) -> np.ndarray:
+def expected(z: np.ndarray, model: dict) -> tuple[np.ndarray, float]:
+    """(responsibilities, log-likelihood) of rows under a mixture."""
     log = _log_density(z, model)
-    log -= log.max(1, keepdims=True)
-    p = np.exp(log)
-    return p / p.sum(1, keepdims=True)
+    top = log.max(1, keepdims=True)
+    p = np.exp(log - top)
+    return p / p.sum(1, keepdims=True), float((np.log(p.sum(1)) + top[:, 0]).sum())
+
+
+def responsibilities(z: np.ndarray, model: dict) -> np.ndarray:
+    return expected(z, model)[0]
 
 
-def fit(stats: DataFrame, rounds: int = 8, ridge: float = 0.06, prior: float = 0.004) -> dict | None:
+def fit(stats: DataFrame, rounds: int = 8, ridge: float = 0.06, prior: float = 0.004, gain: float = 0.002) -> dict | None:
     """The mixture over all rows of ``stats``; None for an empty table.
 
     A round sends the driver one row per component and entry, whatever the table's size.
-    ``prior`` is the weight of a start as a share of all rows.
+    Rounds end when a row's mean log-likelihood gains less than ``gain``, or after ``rounds``.
+    ``prior`` is the weight of a start as a share of all rows, so that a component keeps
+    its class at every size.
     """
     d = len(STATS)
     moments = stats.select(F.count(F.lit(1)), *(F.avg(F.col("x")[k]) for k in range(d)), *(F.stddev_pop(F.col("x")[k]) for k in range(d))).first()
@@ -216,26 +223,33 @@ def fit(stats: DataFrame, rounds: int = 8, ridge: float = 0.06, prior: float = 0
     k = len(seeds)
     model = {"centre": centre, "scale": scale, "classes": classes, "weights": np.full(k, 1 / k), "means": seeds, "covs": np.array([np.eye(d) * 0.5] * k)}
     hold = max(3.0, prior * total)
+    likely = -np.inf
     for _ in range(rounds):
         now = model
 
         def run(frames: Iterator[pd.DataFrame], now: dict = now) -> Iterator[pd.DataFrame]:
-            sums = np.zeros((k, 1 + d + d * d))
+            # per component: its weight, sums, products; the last entry of the first one is the log-likelihood
+            sums = np.zeros((k, 2 + d + d * d))
             for f in frames:
                 if len(f):
                     z = (np.stack(f["x"].to_numpy()) - now["centre"]) / now["scale"]
-                    r = responsibilities(z, now)
+                    r, likely = expected(z, now)
+                    sums[0, -1] += likely
                     sums[:, 0] += r.sum(0)
                     sums[:, 1 : 1 + d] += r.T @ z
                     for j in range(k):
-                        sums[j, 1 + d :] += ((z * r[:, j : j + 1]).T @ z).ravel()
+                        sums[j, 1 + d : -1] += ((z * r[:, j : j + 1]).T @ z).ravel()
             yield pd.DataFrame({"k": range(k), "s": list(sums)})
 
         parts = stats.select("x").mapInPandas(run, "k int, s array<double>")
         flat = parts.select("k", F.posexplode("s")).groupBy("k", "pos").agg(F.sum("col").alias("v")).collect()
-        sums = np.zeros((k, 1 + d + d * d))
+        sums = np.zeros((k, 2 + d + d * d))
         for row in flat:
             sums[row[0], row[1]] = row[2]
+        now_likely, sums = sums[0, -1] / total, sums[:, :-1]
+        if now_likely - likely < gain:
+            break
+        likely = now_likely
         n = sums[:, 0]
         means = (sums[:, 1 : 1 + d] + hold * seeds) / (n + hold)[:, None]
         covs = np.empty((k, d, d))

@@ -34,3 +34,9 @@ def test_responsibilities_sum_to_one():
     model = {"weights": np.full(len(means), 1 / len(means)), "means": means, "covs": np.array([np.eye(means.shape[1])] * len(means))}
     r = q.responsibilities(means, model)
     assert np.allclose(r.sum(1), 1) and [classes[k] for k in r.argmax(1)] == classes
+
+
+def test_rounds_end_when_nothing_is_gained(spark, tables):
+    stats = q.statistics(spark.read.parquet(f"{tables}/documents.parquet"), "doc_id", "text").cache()
+    few, more = q.fit(stats, rounds=40), q.fit(stats, rounds=80)
+    assert (few["means"] == more["means"]).all()
