@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillscan.session import spread
+
 MASK = "REDACTED"
 
 # Forms of tokens by issuer.
@@ -526,7 +528,7 @@ def _each(df: DataFrame, kinds: str, row) -> DataFrame:
             rows = [x for key, path, text in f.itertuples(index=False) if text for x in row(key, path, text)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in kinds.split(", ")])
 
-    return df.mapInPandas(run, kinds)
+    return spread(df).mapInPandas(run, kinds)
 
 
 def _sources(files: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame]:

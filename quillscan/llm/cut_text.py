@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillscan.session import durable
+from quillscan.session import durable, spread
 
 MARK = re.compile(r"(?:\s*(?:\[[^\]\n]*(?:truncat|cut off|snip|cont)[^\]\n]*\]|<[^>\n]*truncat[^>\n]*>|\([^)\n]*truncat[^)\n]*\)|\[(?:…|\.{3})\]))+\s*$", re.I)
 ELLIPSIS = re.compile(r"\s*(?:…|\.{3,})\s*$")
@@ -154,7 +154,7 @@ def sections_pass(df: DataFrame, id_col: str, text_col: str, source: Column, par
             yield pd.DataFrame(rows, columns=["id", "source", "groups", "state", "last", "body", "lengths"])
 
     picked = df.select(F.col(id_col).cast("bigint").alias("id"), source.alias("source"), groups_of(source, parts or []).alias("groups"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(run, "id bigint, source string, groups array<string>, state string, last string, body bigint, lengths array<struct<mask:int,length:int>>")
+    return spread(picked).mapInPandas(run, "id bigint, source string, groups array<string>, state string, last string, body bigint, lengths array<struct<mask:int,length:int>>")
 
 
 def continuations(df: DataFrame, text_col: str) -> DataFrame:
@@ -168,7 +168,7 @@ def continuations(df: DataFrame, text_col: str) -> DataFrame:
                     seen.setdefault(key, Counter())[what] += 1
             yield pd.DataFrame([(k, c["end"], c["dots"], c["more"]) for k, c in seen.items()], columns=["last", "ends", "dots", "more"])
 
-    counted = df.select(F.col(text_col).alias("text")).mapInPandas(run, "last string, ends bigint, dots bigint, more bigint")
+    counted = spread(df.select(F.col(text_col).alias("text"))).mapInPandas(run, "last string, ends bigint, dots bigint, more bigint")
     return counted.groupBy("last").agg(F.sum("ends").alias("ends"), F.sum("dots").alias("dots"), F.sum("more").alias("more"))
 
 

@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillscan.session import spread
+
 WINDOW = 14
 ERRORS = 2  # edits up to which windows are compared; one may count, two count inside a longer passage
 PASSAGE = 20  # words from which a passage may hold one edit in ten words
@@ -297,6 +299,6 @@ def leaks(corpus: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                     pairs = [(i, x) for i, xs in zip(part["id"], index.search(docs)) for x in sorted(xs)]
                     yield pd.DataFrame(pairs, columns=[id_col, item_col])
 
-        found = corpus.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, kind)
+        found = spread(corpus.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))).mapInPandas(run, kind)
         out = found if out is None else out.unionByName(found)
     return out

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillscan.llm.grammars import BY_EXTENSION
+from quillscan.session import spread
 
 CONFLICT = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?=[ \r\n]|\Z)", re.M)
 MARKUP = re.compile(r"\s*(?:<!DOCTYPE\b|<\?(?:xml|php)\b|<html\b|#!\s*/\S*\b(?:ba|z|k)?sh\b|#include\s*[<\"])", re.I)
@@ -61,7 +62,7 @@ def failure(ext: str, text: str) -> tuple[bool, int | None, str | None]:
 
 def _texts(files: DataFrame, id_col: str, keep: list[str]) -> DataFrame:
     picked = files.select(F.col(id_col).alias("id"), *keep, extension(F.col("path")).alias("ext"), F.col("content").alias("_text"))
-    return picked.where(F.col("ext").isin(*BY_EXTENSION) & (F.length("_text") > 0))
+    return spread(picked.where(F.col("ext").isin(*BY_EXTENSION) & (F.length("_text") > 0)))
 
 
 def parsed(files: DataFrame, id_col: str = "file_id", keep: list[str] | None = None) -> DataFrame:
