@@ -52,3 +52,9 @@ def fnv1a(s: Column) -> Column:
 
 def grade(score: Column) -> Column:
     return F.when(score >= 85, "A").when(score >= 70, "B").when(score >= 55, "C").when(score >= 40, "D").otherwise("F")
+
+
+def signed_hash31(s: Column) -> Column:
+    """The 31-multiplier hash as a signed number of 32 bits."""
+    h = hash31(s)
+    return F.when(h >= 2147483648, h - 4294967296).otherwise(h)

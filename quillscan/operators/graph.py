@@ -124,3 +124,15 @@ def degrees(edges: DataFrame) -> DataFrame:
     """``unit, path, out_degree, in_degree``."""
     ends = edges.select("unit", F.col("src").alias("path"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select("unit", F.col("dst").alias("path"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     return ends.groupBy("unit", "path").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
+
+
+def module_edges(targets: DataFrame, files: DataFrame) -> DataFrame:
+    """``unit, src, dst`` between modules by dotted names: an import that names a module, else the first module that it ends, never the importer itself."""
+    dotted = lambda p: F.replace(F.regexp_replace(p, r"\.[^./]+$", ""), F.lit("/"), F.lit("."))
+    parts = F.split(F.col("module"), r"\.")
+    known = files.where("readable").select("unit", dotted(F.col("path")).alias("module"), "ordinal")
+    named = known.select("unit", "module", "ordinal", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))).alias("name"))
+    asked = targets.select("unit", dotted(F.col("path")).alias("src"), "no", F.regexp_replace("target", r"\.(py|ts|tsx|js|jsx|java|go|rs|cs|kt|php|rb|swift|scala|c|h)$", "").alias("name"))
+    met = asked.join(named, ["unit", "name"]).withColumn("rank", F.when(F.col("name") == F.col("module"), -1).otherwise(F.col("ordinal")))
+    best = met.groupBy("unit", "src", "no").agg(F.min_by("module", "rank").alias("dst"))
+    return best.where("src <> dst").select("unit", "src", "dst").distinct()

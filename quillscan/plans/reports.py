@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillscan.functions import paths
+from quillscan.functions import dates, paths, text
 from quillscan.operators import audit, detectors, external, findings, graph, metrics, report, score, views
 from quillscan.plans.analytics import query
 from quillscan.session import durable, load
@@ -366,3 +366,27 @@ def a15_a16_evidence_columns(spark, d):
 
 
 query()(a15_a16_evidence_columns)
+
+
+def g03_module_edges(spark, d):
+    """No SQL: the imports come from masked texts."""
+    files, _, imported = detectors.parts(durable(detectors.one_pass(load(spark, d, "scan_files"))))
+    return graph.module_edges(imported, files)
+
+
+query()(g03_module_edges)
+
+
+_CODES = "list_transform(string_split(name, ''), lambda c: ascii(c)::BIGINT)"
+
+
+@query(f"WITH n AS (SELECT DISTINCT name FROM repo_catalog), h AS (SELECT name, list_reduce({_CODES}, lambda h, c: (h * 31 + c) & 4294967295) AS hash31, list_reduce(list_prepend(2166136261::BIGINT, {_CODES}), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS fnv FROM n) SELECT name, hash31, CASE WHEN hash31 >= 2147483648 THEN hash31 - 4294967296 ELSE hash31 END AS signed_hash, fnv FROM h")
+def f4_hashes(spark, d):
+    n = load(spark, d, "repo_catalog").select("name").distinct()
+    return n.select("name", text.hash31(F.col("name")).alias("hash31"), text.signed_hash31(F.col("name")).alias("signed_hash"), text.fnv1a(F.col("name")).alias("fnv"))
+
+
+@query("SELECT scan_id, epoch_us(scanned_at) // 1000 AS epoch_ms, strftime(scanned_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, (scanned_at::DATE - 7)::VARCHAR AS week_before FROM scans")
+def f5_dates(spark, d):
+    at = F.col("scanned_at")
+    return load(spark, d, "scans").select("scan_id", dates.epoch_ms(at).alias("epoch_ms"), dates.iso(at).alias("iso"), dates.days_before(at, 7).cast("string").alias("week_before"))

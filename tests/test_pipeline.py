@@ -102,3 +102,35 @@ def test_import_resolution(spark):
     kept, _, imported = detectors.parts(detectors.one_pass(files(spark, fs)).cache())
     got = {(r.src, r.dst) for r in graph.import_edges(imported, kept).collect()}
     assert got == {("app/a.ts", "lib/b/index.ts"), ("app/a.ts", "src/util.ts"), ("pkg/m.py", "root/pkg/sub.py"), ("r.rb", "h.rb")}
+
+
+def test_modules_by_dotted_names(spark):
+    fs = [("pkg/a.py", "from util import x\nimport pkg.b\nimport a\n"), ("pkg/b.py", "x"), ("lib/util.py", "x"), ("old/util.py", "x")]
+    kept, _, imported = detectors.parts(detectors.one_pass(files(spark, fs)).cache())
+    assert {(r.src, r.dst) for r in graph.module_edges(imported, kept).collect()} == {("pkg.a", "lib.util"), ("pkg.a", "pkg.b")}
+
+
+def test_components_with_self_edges(spark):
+    e = spark.createDataFrame([(1, "a", "b"), (1, "b", "a"), (1, "c", "c"), (1, "a", "a"), (2, "x", "y")], "unit long, src string, dst string")
+    assert [tuple(r) for r in graph.component_count(e, graph.components(e)).collect()] == [(1, 2)]
+    assert {(r.path, r.neighbours) for r in graph.adjacency(e).where("unit = 1").collect()} == {("a", 2), ("b", 1), ("c", 1)}
+
+
+def test_answers_and_evidence_columns(spark):
+    from quillscan.operators import metrics
+
+    texts = [(1, 'Sure:\n```json\n{"sections": [{"title": "T", "body": "B", "confidence": "sure"}, {"title": "", "body": ""}]}\n```'), (2, "plain text"), (3, None), (4, '{"sections": [')]
+    got = {r.id: (r.title, r.body, r.confidence) for r in report.answer_sections(spark.createDataFrame(texts, "i long, t string"), "i", "t").collect()}
+    assert got == {1: ("T", "B", "medium"), 2: ("Explanation", "plain text", "medium"), 3: ("Explanation", "Empty answer.", "medium"), 4: ("Explanation", '{"sections": [', "medium")}
+    units = spark.createDataFrame([(1, 9, 1, 4, 60.0, 2), (2, 3, 0, 0, 5.0, 0)], "unit long, files long, god_classes long, large_files long, mean_function double, long_functions long")
+    rows = {r.unit: r for r in metrics.evidence_columns(units, spark.createDataFrame([(1, 2)], "unit long, cycles long")).collect()}
+    assert (rows[1].critical, rows[1].high, rows[1].medium, rows[1].recommendations, rows[1].coverage) == (2, 3, 4, 4, 100.0) and rows[1].causes == ["god_class", "circular_dependency", "large_file", "long_method"]
+    assert rows[2].causes == [] and rows[2].coverage == 100.0
+
+
+def test_views(spark):
+    from quillscan.operators import views
+
+    df = spark.createDataFrame([(1, " High ", "Split it", "a"), (2, None, "keep", None), (3, "critical", "split", "b")], "ev_seq long, severity string, message string, sprint string")
+    assert [r.ev_seq for r in views.ordered(df, "severity").orderBy("row_no").collect()] == [3, 1, 2] and [r.ev_seq for r in views.ordered(df, "message", descending=False).orderBy("row_no").collect()] == [1, 2, 3]
+    assert [r.ev_seq for r in views.matching(df, "SPLIT", ("message",)).collect()] == [1, 3] and [r.ev_seq for r in views.matching(df, sprint=None).collect()] == [2]
