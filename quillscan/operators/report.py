@@ -118,7 +118,7 @@ def security_review(found: DataFrame, scores: DataFrame) -> DataFrame:
 
 def prompt_text(causes: DataFrame, capped: DataFrame) -> DataFrame:
     """Per unit the text that asks for an explanation: its first ten causes and three sure findings with their lines."""
-    line = F.concat(F.lit("- ["), "severity", F.lit("] "), "category", F.lit(": "), "title", F.lit(" ("), F.coalesce(F.get("affected_files", F.lit(0)), F.lit("")), F.lit(", "), F.col("evidence_count").cast("string"), F.lit(" findings)"))
+    line = F.concat(F.lit("- ["), "severity", F.lit("] "), "category", F.lit(": "), "title", F.lit(" ("), F.coalesce(F.get(F.array_compact("affected_files"), F.lit(0)), F.lit("")), F.lit(", "), F.col("evidence_count").cast("string"), F.lit(" findings)"))
     asked = causes.where("rank_no <= 10").groupBy("unit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank_no", line.alias("line")))), lambda x: x["line"]), "\n").alias("causes"))
     w = Window.partitionBy("unit").orderBy(F.col("kept_rank"))
     sure = capped.where("validation_status = 'verified' and snippet is not null").withColumn("n", F.row_number().over(w)).where("n <= 3")
