@@ -39,6 +39,9 @@ CORE = frozenset(
     "the a an of to and in is it for on as be are was by at or if der die das und ist ein eine in den von zu mit nicht el los las de que y es en un una con por se no ve bir bu da için ile ama çok biri göre değil le les et du des est dans une il che di non per o os um é não het en van dat niet и в не на что с я он".split()
 )
 WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’][^\W\d_]+)?(?!\w)")
+# the same words in a text of ASCII alone
+PLAIN_WORD = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z]+(?:'[A-Za-z]+)?(?![A-Za-z0-9_])")
+SPACES, DIGITS, LETTERS = (bytes(c for c in range(128) if f(chr(c))) for f in (str.isspace, str.isdigit, str.isalpha))
 TOKEN = re.compile(r"\S+")
 CAMEL = re.compile(r"[a-z][A-Z]")
 SENTENCE_END = re.compile(r"[.!?…。！？؟।][\"'”’»)\]*_`]*(?=\s|$)|[。！？]")
@@ -55,34 +58,49 @@ def _lower(s: str) -> str:
     return s.lower().replace("i̇", "i").replace("ı", "i")
 
 
+def _words(text: str) -> tuple[list[str], list[str]]:
+    """The words of a text, as they stand and in lower case."""
+    if text.isascii():
+        words = PLAIN_WORD.findall(text)
+        return words, [w.lower() for w in words]
+    return WORD.findall(text), WORD.findall(_lower(text))
+
+
+def _characters(text: str) -> tuple[int, int, int]:
+    """How many characters aren't space, are digits, are letters."""
+    if text.isascii():
+        b = text.encode()
+        n = len(b)
+        return len(b.translate(None, SPACES)), n - len(b.translate(None, DIGITS)), n - len(b.translate(None, LETTERS))
+    return len(text) - sum(map(str.isspace, text)), sum(map(str.isdigit, text)), sum(map(str.isalpha, text))
+
+
 def _is_prose(chunk: str) -> bool:
     """A run of words that reads like a sentence: mostly words, enough of them common."""
-    words = WORD.findall(chunk)
-    if WIDE.search(chunk):
-        return len(WIDE.findall(chunk)) >= 0.5 * len(re.sub(r"\s", "", chunk))
+    solid = sum(map(len, chunk.split()))
+    plain = chunk.isascii()
+    if not plain and WIDE.search(chunk):
+        return len(WIDE.findall(chunk)) >= 0.5 * solid
+    words, low = _words(chunk)
     if len(words) < 3:
         return False
-    solid = re.sub(r"\s", "", chunk)
-    letters = sum(map(len, words))
-    common = sum(w in WORDS for w in WORD.findall(_lower(chunk)))
-    return letters >= 0.62 * len(solid) and common >= max(1, 0.12 * len(words)) and not MOJIBAKE.search(chunk)
+    common = sum(w in WORDS for w in low)
+    return sum(map(len, words)) >= 0.62 * solid and common >= max(1, 0.12 * len(words)) and (plain or not MOJIBAKE.search(chunk))
 
 
 def measure(text: str) -> tuple[list[float], list[float]]:
     """(open statistics, statistics of the mixture) of a non-blank text, over the whole text."""
-    words = WORD.findall(text)
+    words, low = _words(text)
     lines = [x for x in text.splitlines() if x.strip()] or [text]
     n, nw, nl = max(1, len(text)), max(1, len(words)), len(lines)
-    solid = max(1, n - sum(map(str.isspace, text)))
-    low = WORD.findall(_lower(text))
+    solid, digits, letters = _characters(text)
+    solid = max(1, solid)
     common = sum(w in WORDS for w in low)
-    digits = sum(map(str.isdigit, text))
-    letters = sum(map(str.isalpha, text))
     plain = sum(text.count(c) for c in ".,;:!?'\"()-’“”")
     symbols = max(0, solid - letters - digits - plain)
     tokens = TOKEN.findall(text)
     long_chars = sum(len(t) for t in tokens if len(t) > 30)
-    names = sum(1 for t in tokens if "_" in t[1:-1] or "/" in t[1:-1] or CAMEL.search(t))
+    names = sum(1 for t in tokens if "_" in t[1:-1] or "/" in t[1:-1] or not t.islower() and CAMEL.search(t))
     ends = len(SENTENCE_END.findall(text))
     closed = sum(bool(CLOSING.search(x.rstrip())) for x in lines)
     bullets = sum(bool(BULLET.match(x)) for x in lines)
@@ -100,7 +118,7 @@ def measure(text: str) -> tuple[list[float], list[float]]:
             else:
                 part = f"{part} {x}"
         runs.append(part)
-    prose = sum(len(re.sub(r"\s", "", s)) for r in runs for s in re.split(r"(?<=[.!?…])\s+", re.sub(r"[*_`>#|]+", " ", r)) if _is_prose(s))
+    prose = sum(sum(map(len, s.split())) for r in runs for s in re.split(r"(?<=[.!?…])\s+", re.sub(r"[*_`>#|]+", " ", r)) if _is_prose(s))
     grams = list(zip(low, low[1:], low[2:])) if len(low) > 3 else [tuple(low)]
     fresh = len(set(grams)) / max(1, len(grams))
     squeeze = min(1.0, len(zlib.compress(text.encode("utf-8", "replace"), 1)) / max(60, len(text.encode("utf-8", "replace"))))
