@@ -23,7 +23,7 @@ def import_edges(targets: DataFrame, files: DataFrame) -> DataFrame:
 
     A target meets the files by an equi-join on the path without its ending; the lowest
     rank of base and ending wins. Bare dotted targets may also end a path; among several such
-    files the first counts. Unresolved targets give no row.
+    files the first counts, and a PHP name may be its last part. Unresolved targets give no row.
     """
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     here = lambda x: F.when(folder == "", x).otherwise(F.concat(folder, F.lit("/"), x))
@@ -50,7 +50,10 @@ def import_edges(targets: DataFrame, files: DataFrame) -> DataFrame:
     endings_of = files.where("readable").select("unit", F.col("path").alias("dst"), "ordinal", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))).alias("try"))
     bare = targets.where(~F.col("quoted") & ~t.rlike(r"^(\.\.?/|@/)")).select("unit", "path", "no", F.when(t.contains("."), slashed).otherwise(t).alias("try"))
     by_end = bare.join(endings_of, ["unit", "try"]).select("unit", "path", "no", (F.lit(1_000_000) + F.col("ordinal")).alias("rank"), "dst")
-    best = direct.select("unit", "path", "no", F.col("rank").cast("bigint").alias("rank"), "dst").unionByName(by_end)
+    # a PHP name with a path may be told by its last part alone
+    last = targets.where(~F.col("quoted") & t.contains("/") & F.endswith(F.col("path"), F.lit(".php"))).select("unit", "path", "no", F.element_at(F.split(t, "/"), -1).alias("try"))
+    by_last = last.join(endings_of, ["unit", "try"]).where("dst like '%.php'").select("unit", "path", "no", (F.lit(2_000_000_000) + F.col("ordinal")).alias("rank"), "dst")
+    best = direct.select("unit", "path", "no", F.col("rank").cast("bigint").alias("rank"), "dst").unionByName(by_end).unionByName(by_last)
     return best.groupBy("unit", "path", "no").agg(F.min_by("dst", "rank").alias("dst")).select("unit", F.col("path").alias("src"), "dst")
 
 

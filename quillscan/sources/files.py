@@ -23,9 +23,12 @@ def read_directory(spark: SparkSession, root: str, repo: Column | None = None, m
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).where(F.col("length") < most_bytes)
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + base.replace(".", r"\."), "")
-    f = raw.select(F.regexp_replace(rel, "^/+", "").alias("path"), F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    f = raw.select(F.regexp_replace(rel, "^/+", "").alias("path"), F.col("length").alias("size"), "content")
     f = f.withColumn("repo", repo if repo is not None else F.lit(PurePosixPath(base).name))
-    return f.select("repo", (F.row_number().over(Window.partitionBy("repo").orderBy("path")) - 1).alias("ordinal"), "path", "size", "content")
+    # the order is made on paths alone, which are read without any content
+    order = f.select("repo", "path", (F.row_number().over(Window.partitionBy("repo").orderBy("path")) - 1).alias("ordinal"))
+    text = F.make_valid_utf8(F.col("content").cast("string")).alias("content")
+    return f.join(order, ["repo", "path"]).select("repo", "ordinal", "path", "size", text)
 
 
 def clone_limits(files: DataFrame, most_files: int = 8000, most_bytes: int = 1_000_000, budget: int = 200 * 1024 * 1024) -> DataFrame:

@@ -98,10 +98,10 @@ def test_components_match_brute_force(spark):
 
 
 def test_import_resolution(spark):
-    fs = [("app/a.ts", 'import x from "../lib/b";\nimport y from "@/util";\nimport z from "react";'), ("lib/b/index.ts", "x"), ("src/util.ts", "x"), ("pkg/m.py", "from pkg.sub import q\nimport os\n"), ("root/pkg/sub.py", "x"), ("r.rb", "require_relative 'h'\n"), ("h.rb", "x")]
+    fs = [("app/a.ts", 'import x from "../lib/b";\nimport y from "@/util";\nimport z from "react";'), ("lib/b/index.ts", "x"), ("src/util.ts", "x"), ("pkg/m.py", "from pkg.sub import q\nimport os\n"), ("root/pkg/sub.py", "x"), ("r.rb", "require_relative 'h'\n"), ("h.rb", "x"), ("web/p.php", "use App\\Models\\User;\n"), ("lib/User.php", "x")]
     kept, _, imported = detectors.parts(detectors.one_pass(files(spark, fs)).cache())
     got = {(r.src, r.dst) for r in graph.import_edges(imported, kept).collect()}
-    assert got == {("app/a.ts", "lib/b/index.ts"), ("app/a.ts", "src/util.ts"), ("pkg/m.py", "root/pkg/sub.py"), ("r.rb", "h.rb")}
+    assert got == {("app/a.ts", "lib/b/index.ts"), ("app/a.ts", "src/util.ts"), ("pkg/m.py", "root/pkg/sub.py"), ("r.rb", "h.rb"), ("web/p.php", "lib/User.php")}
 
 
 def test_modules_by_dotted_names(spark):
