@@ -23,6 +23,7 @@ from functools import cached_property
 
 import regex
 
+LONG_PATTERN = 2000  # compiling a run of statements twice costs more than trying it where it can't start
 LOOKBEHIND = regex.compile(r"\(\?<[=!](?:[^()\\\[]|\\.|\[(?:[^\]\\]|\\.)*\])*\)")
 LEX = regex.compile(r"\s*(?:(?P<name>[A-Za-z]\w*)|'(?P<lit>(?:[^'\\]|\\.)+)'|(?P<bare>~?)/(?!\s)(?P<pat>(?:[^/\\]|\\.)+)/(?=[\s*+?)]|$)|(?P<op>[()*+?&!/]))")
 
@@ -164,6 +165,8 @@ class Grammar:
         open_: set[str] = set()
 
         def by_token(p: str) -> frozenset[str] | None:
+            if len(p) > LONG_PATTERN:
+                return None
             if p not in known:
                 # what stands before a token is not known here
                 rx = regex.compile(LOOKBEHIND.sub("", p), regex.S)
