@@ -87,6 +87,7 @@ def evidence_columns(units: DataFrame, cycles: DataFrame) -> DataFrame:
     u = units.join(cycles, "unit", "left").withColumn("cycles", F.coalesce("cycles", F.lit(0)))
     gods, loops, large, long = c("god_classes") > 0, c("cycles") > 0, c("large_files") > 3, (F.coalesce("mean_function", F.lit(0.0)) > 50) | (c("long_functions") > 0)
     listed = lambda *names: F.array_compact(F.array(*(F.when(rule, F.lit(n)) for rule, n in zip((gods, loops, large, long), names))))
+    # Names and weights of causes and smells.
     causes = listed("god_class", "circular_dependency", "large_file", "long_method")
     total = c("long_functions") + c("god_classes") + c("cycles") + c("large_files")
     return u.select(

@@ -124,6 +124,7 @@ def prompt_text(causes: DataFrame, capped: DataFrame) -> DataFrame:
     sure = capped.where("validation_status = 'verified' and snippet is not null").withColumn("n", F.row_number().over(w)).where("n <= 3")
     shown = F.concat(F.lit("- "), F.coalesce("path", F.lit("")), F.lit(":"), F.coalesce(F.col("line").cast("string"), F.lit("1")), F.lit(": "), F.left(F.regexp_replace("snippet", r"\s+", " "), F.lit(220)))
     snippets = sure.groupBy("unit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", shown.alias("line")))), lambda x: x["line"]), "\n").alias("snippets"))
+    # The wording of the prompt.
     tail = "Explain the top 3 most important findings; keep the rest brief."
     return asked.join(snippets, "unit", "left").select("unit", F.concat_ws("\n", F.lit("Findings:"), "causes", F.when(F.col("snippets").isNotNull(), F.concat(F.lit("\nKey evidence snippets:\n"), "snippets")), F.lit("\n" + tail)).alias("prompt"))
 
